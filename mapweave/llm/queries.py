@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mapweave.llm import op2
+from mapweave.llm import op2, op6, op9
 
 QUERIES = {
     "op2_near_dedup": op2.run,
+    "op6_decontaminate": op6.run,
+    "op9_bpe": op9.run,
 }
 
 ORACLES: dict[str, str] = {}
