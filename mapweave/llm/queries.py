@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mapweave.llm import op2, op6, op9
+from mapweave.llm import op2, op6, op9, op10
 
 QUERIES = {
     "op2_near_dedup": op2.run,
     "op6_decontaminate": op6.run,
     "op9_bpe": op9.run,
+    "op10_language_id": op10.run,
 }
 
 ORACLES: dict[str, str] = {}
