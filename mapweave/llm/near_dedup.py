@@ -3,9 +3,10 @@
 1. Every text gets a signature of universal hash minima over its distinct
    5-word shingles, and band keys of `ROWS` minima each.
 2. Texts with equal sets collapse to the smallest id of them.
-3. In every band bucket each member is paired with the smallest member; pairs
-   pass a signature check, then an exact comparison of full shingle sets.
-   Components of these links follow.
+3. Every text is paired with the smallest centre of its band buckets, a bucket's
+   centre being its smallest member; then with the centres of all its buckets
+   that are not in its component yet. Pairs pass a signature check, then an
+   exact comparison of full shingle sets. Components of these links follow.
 4. Buckets whose members are still in several components are compared in full,
    block against block by signatures, leaving out members of the bucket's
    largest component among themselves: they are connected already. So every
@@ -34,6 +35,8 @@ BANDS, ROWS = 40, 5
 LEAST_ESTIMATE = 0.60
 #: Members in a block of step 4.
 BLOCK = 128
+#: Bits of the filter that keeps most unneeded texts out of a shuffle: a bound on what is broadcast.
+FILTER_BITS = 1 << 24
 _U = np.uint64
 
 
@@ -140,16 +143,28 @@ def _blocks_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `ids` (id).
+
+    A bit map of fixed size goes to all tasks and leaves few other texts; the
+    semi-join on what passes is exact.
+    """
+    word, mask = f"cast(pmod(xxhash64({{0}}), {FILTER_BITS}) div 64 AS int)", f"shiftleft(1L, cast(pmod(xxhash64({{0}}), 64) AS int))"
+    bits = ids.select(F.expr(word.format("id")).alias("word"), F.expr(mask.format("id")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
+    near = docs.join(F.broadcast(bits), F.expr(word.format("doc_id")) == F.col("word")).where(F.expr(f"held & {mask.format('doc_id')} <> 0"))
+    return near.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Those of the distinct pairs (a, b) that hold on the full sets. Only texts in pairs are read into sets."""
     pairs = scratch.save(pairs, f"{tag}-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    sets = scratch.save(texts.mapInArrow(_sets, "id long, set binary"), f"{tag}-sets")
+    ids = scratch.save(ids, f"{tag}-ids")
+    sets = scratch.save(_only(docs, ids).mapInArrow(_sets, "id long, set binary"), f"{tag}-sets")
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     full = full.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     links = scratch.save(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"), f"{tag}-links")
-    scratch.drop(f"{tag}-sets", f"{tag}-pairs")
+    scratch.drop(f"{tag}-sets", f"{tag}-pairs", f"{tag}-ids")
     return links
 
 
@@ -178,28 +193,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = scratch.save(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1"), "buckets")
     star = banded.join(buckets.select(F.col("key").alias("k"), "centre", "size"), F.col("key") == F.col("k"))
     star = scratch.save(star.select("key", "id", "centre", "size"), "members")
-    pairs = star.where("id <> centre").select(F.col("id").alias("b"), F.col("centre").alias("a")).distinct()
     sigs = reps.select("id", "n", "sig")
-    pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
-    alike = pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")
-    links = _links(alike, docs, scratch, "star").select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(copies)
-    found = scratch.save(connected_components(links, scratch, "cc"), "found")
-
-    more = scratch.save(_across(star, found, sigs, scratch), "across")
-    if not more.isEmpty():
-        known = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        links = _links(more, docs, scratch, "across").select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(known)
-        found = scratch.save(connected_components(links, scratch, "cc2"), "found2")
-    scratch.drop("members", "buckets", "reps", "star-links")
+    found, links = None, copies
+    first_centre = star.groupBy("id").agg(F.min("centre").alias("centre")).where("id <> centre")
+    for tag, step in (("first", lambda: _centres(first_centre, sigs)), ("rest", lambda: _centres(_apart(star, found), sigs)), ("across", lambda: _across(star, found, sigs, scratch))):
+        new = _links(step(), docs, scratch, tag).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if found is None or not new.isEmpty():
+            links = links.unionByName(new)
+            found = scratch.save(connected_components(links, scratch, f"cc-{tag}"), f"found-{tag}")
+            links = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    scratch.drop("members", "buckets", "reps")
     labels = found.where("node <> component").select(F.col("node").alias("doc_id"), "component")
     out = signed.select("doc_id", "n_shingles").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, centre): members with those of their buckets' centres that are in another component."""
+    labels = found.where("node <> component")
+    own = members.where("id <> centre").select("id", "centre").distinct().join(labels.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+    both = own.join(labels.select(F.col("node").alias("centre"), F.col("component").alias("its")), "centre", "left")
+    return both.where(F.coalesce("own", "id") != F.coalesce("its", "centre")).select("id", "centre")
+
+
+def _centres(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those pairs (id, centre) whose signatures agree, as (a, b)."""
+    pairs = pairs.select(F.col("id").alias("b"), F.col("centre").alias("a"))
+    pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")
+
+
 def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) of different components in the same bucket."""
-    labelled = members.where("size > 2").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = members.where("size > 2").join(found.where("node <> component").select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("comp"))
     counts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("comp", "n").alias("largest"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
