@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from mapweave.llm import op2, op3, op5, op6, op8, op9, op10
+from mapweave.llm import op2, op3, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op2_near_dedup": op2.run,
     "op3_secret_scan": op3.run,
     "op5_top_k": op5.run,
     "op6_decontaminate": op6.run,
+    "op7_warc": op7.run,
     "op8_toxicity": op8.run,
     "op9_bpe": op9.run,
     "op10_language_id": op10.run,
 }
 
-ORACLES: dict[str, str] = {"op5_top_k": op5.ORACLE}
+ORACLES: dict[str, str] = {"op5_top_k": op5.ORACLE, "op7_warc": op7.ORACLE}
