@@ -1,21 +1,71 @@
-"""A pipeline over `documents` of the operators in mapweave.llm."""
+"""A pipeline over `documents`: language ID, near-dedup, decontamination, secret redaction, BPE.
+
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
+all but the last return the columns of `documents`. A document without doc_id
+goes through every stage; the near-duplicate stage keeps it, since its groups
+are made of ids. Rows that repeat a doc_id are one document from there on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mapweave.llm import decontaminate, langid, near_dedup, op9, op10, secrets
+from mapweave.llm.scratch import Scratch
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the others teach; texts without letters go."""
+    found = langid.identify(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), op10.learn(docs), carry="row")
+    return found.where("lang_pred <> 'und'").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
 
-STAGES: list = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold benchmark passages. A row is known by the hash of its id and text."""
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.decontaminate(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_row")).distinct()
+    return docs.join(bad, row == F.col("bad_row"), "left_anti")
 
-#: SQL can't express language models, near-duplicate components and byte-pair merging.
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mask for every secret; n_chars follows a changed text."""
+    models = secrets.train(secrets.labelled_samples(spark))
+    clean = docs.withColumn("redacted_text", secrets.redact(F.col("text"), models))
+    changed = ~F.col("redacted_text").eqNullSafe(F.col("text"))
+    columns = {"text": F.col("redacted_text"), "n_chars": F.when(changed, F.length("redacted_text").cast("long")).otherwise(F.col("n_chars"))}
+    return clean.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return op9.apply(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_redaction", secret_redaction),
+    ("bpe", bpe),
+]
+
+#: SQL can't express learned language models, near-duplicate components and byte-pair merging.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over all that the one before it kept, each written to the shared folder and read again."""
-    from mapweave.llm.scratch import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs

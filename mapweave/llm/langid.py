@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mapweave.llm import wordhash
 
@@ -161,8 +162,8 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row of `docs` (doc_id, text).
+def identify(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous for each row of `docs` (doc_id, text), and the column `carry` if given.
 
     Texts that are null or have no letter, and all texts if no language was
     learned, get 'und' and score 0. Repeated rows each give a row.
@@ -176,8 +177,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             if known.any():
                 k, share, flag = model.decode(model.margins(data, at))
                 pred[known], score[known], unsure[known] = np.array(model.langs, object)[k][known], share[known], flag[known]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure), *(batch.column(c) for c in more)], names=["doc_id", "lang_pred", "score", "ambiguous", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    more = [carry] if carry else []
+    schema = T.StructType([T.StructField(n, t()) for n, t in (("doc_id", T.LongType), ("lang_pred", T.StringType), ("score", T.DoubleType), ("ambiguous", T.BooleanType))] + [docs.schema[c] for c in more])
+    return docs.select("doc_id", "text", *more).mapInArrow(rows, schema)
 
 

@@ -56,7 +56,11 @@ def _starts(w: Column) -> Column:
 
 def band_keys(shingles: Column) -> Column:
     """A key for each band of a non-empty set of shingle hashes."""
-    return F.array(*(F.xxhash64(F.lit(b), F.array_min(F.transform(shingles, lambda h, b=b: F.xxhash64(h, F.lit(1000 + b))))) for b in range(BANDS)))
+
+    def key(band: int) -> Column:
+        return F.xxhash64(F.lit(band), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(1000 + band)))))
+
+    return F.array(*map(key, range(BANDS)))
 
 
 class Templates:

@@ -168,6 +168,9 @@ def redact(text: Column, models: MarkovModels) -> Column:
 
         return F.when(text.rlike(pattern), let(_matches(text, pattern), lambda m: let(F.split(text, pattern, -1), lambda p: joined(m, p)))).otherwise(text)
 
+    def step(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None) -> Column:
+        return let(text, lambda t: masked(t, pattern, keep))
+
     for pattern, keep in ((ASSIGN, _long_values), (ACCESS, None), (HEX, None), (RUN, lambda _, m: F.transform(m, models.is_random))):
-        text = let(text, lambda t, pattern=pattern, keep=keep: masked(t, pattern, keep))
+        text = step(text, pattern, keep)
     return text
