@@ -31,8 +31,10 @@ from mapweave.llm.components import connected_components
 from mapweave.llm.scratch import Scratch
 
 BANDS, ROWS = 40, 5
-#: Pairs whose share of equal signature bytes is lower are dropped: 0.75 less five standard errors of 200 minima.
-LEAST_ESTIMATE = 0.60
+#: Minima of a signature; the first BANDS * ROWS also make the band keys.
+MINIMA = 512
+#: Pairs whose share of equal signature bytes is lower are dropped: 0.75 less four standard errors of MINIMA minima.
+LEAST_ESTIMATE = 0.67
 #: Members in a block of step 4.
 BLOCK = 128
 #: Bits of the filter that keeps most unneeded texts out of a shuffle: a bound on what is broadcast.
@@ -75,21 +77,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = list(wordhash.shingle_sets(data, at))
         sizes = np.array([len(s) for s in sets])
         full = np.flatnonzero(sizes)
-        m = minima([sets[i] for i in full], BANDS * ROWS)
+        m = minima([sets[i] for i in full], MINIMA)
         keys = np.zeros((len(full), BANDS), np.int64)
         for k in range(BANDS):
             h = np.full(len(full), k + 1, _U)
             for r in range(ROWS):
                 h = wordhash.mix(h * wordhash._STEP[r] + m[:, k * ROWS + r])
             keys[:, k] = h.view(np.int64)
-        signed, bands, prints = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        signed, bands, packed, prints = ([None] * len(sets) for _ in range(4))
         small = m.astype(np.uint8)
         for row, i in enumerate(full.tolist()):
-            signed[i], bands[i] = small[row].tobytes(), keys[row]
+            signed[i], bands[i], packed[i] = small[row].tobytes(), keys[row], keys[row].tobytes()
             prints[i] = hashlib.blake2b(sets[i], digest_size=16).digest()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed, pa.binary())],
-            names=["doc_id", "n_shingles", "print", "bands", "sig"],
+            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(signed, pa.binary())],
+            names=["doc_id", "n_shingles", "print", "bands", "keys", "sig"],
         )
 
 
@@ -124,12 +126,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose signatures agree, of two blocks of a bucket."""
+    """Pairs of different components whose signatures agree, of two blocks of a bucket.
+
+    Of the buckets that a pair shares, the one of the first band gives the pair.
+    """
     for batch in batches:
         left, right = [], []
-        for row in batch.select(["left", "right", "one", "two"]).to_pylist():
+        for row in batch.to_pylist():
             (a, b), (x, y) = ((row["one"], row["two"]), (row["left"], row["right"]))
             sig_a, sig_b = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint8).reshape(len(s), -1) for s in (a, b))
+            keys_a, keys_b = (np.frombuffer(b"".join(m["keys"] for m in s), np.int64).reshape(len(s), -1) for s in (a, b))
             id_a, id_b, comp_a, comp_b, n_a, n_b = (np.array([m[k] for m in s]) for k in ("id", "comp", "n") for s in (a, b))
             for i in range(len(a)):
                 ok = (comp_b != comp_a[i]) & (100 * np.minimum(n_a[i], n_b) >= 75 * np.maximum(n_a[i], n_b))
@@ -138,6 +144,7 @@ def _blocks_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if ok.any():
                     near = np.flatnonzero(ok)
                     near = near[(sig_b[near] == sig_a[i]).mean(axis=1) >= LEAST_ESTIMATE]
+                    near = near[keys_a[i][(keys_b[near] == keys_a[i]).argmax(axis=1)] == row["key"]]
                     left += [int(id_a[i])] * len(near)
                     right += id_b[near].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -179,14 +186,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select("doc_id", "text")
-    signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>, sig binary"), "signed")
+    signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, bands array<long>, keys binary, sig binary"), "signed")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     first = scratch.save(real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "first")
     copies = first.where("copies > 1").select(F.col("print").alias("p"), "rep")
     copies = scratch.save(real.select("doc_id", "print").join(copies, F.col("print") == F.col("p")).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "copies")
     reps = real.join(first.select(F.col("rep").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi")
-    reps = scratch.save(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig").dropDuplicates(["id", "n"]), "reps")
+    reps = scratch.save(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "keys", "sig").dropDuplicates(["id", "n"]), "reps")
     scratch.drop("first")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
@@ -196,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = reps.select("id", "n", "sig")
     found, links = None, copies
     first_centre = star.groupBy("id").agg(F.min("centre").alias("centre")).where("id <> centre")
-    for tag, step in (("first", lambda: _centres(first_centre, sigs)), ("rest", lambda: _centres(_apart(star, found), sigs)), ("across", lambda: _across(star, found, sigs, scratch))):
+    for tag, step in (("first", lambda: _centres(first_centre, sigs)), ("rest", lambda: _centres(_apart(star, found), sigs)), ("across", lambda: _across(star, found, reps.drop("bands"), scratch))):
         new = _links(step(), docs, scratch, tag).select(F.col("b").alias("u"), F.col("a").alias("v"))
         if found is None or not new.isEmpty():
             links = links.unionByName(new)
@@ -235,11 +242,11 @@ def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, scratch: Scra
     # Even blocks hold the largest component, odd ones the rest, about BLOCK members each.
     blocks = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)) * 2 + F.col("rest").cast("long")
     inside = scratch.save(inside.select("key", "id", "comp", "size", blocks.alias("block")), "inside")
-    full = inside.join(sigs, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("held"), F.max("size").alias("size"))
+    full = inside.join(sigs, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sig", "keys")).alias("held"), F.max("size").alias("size"))
     full = scratch.save(full, "blocks")
     parts = F.ceil(F.col("size") / BLOCK)
     # Odd blocks meet themselves, later odd blocks and every even block.
     left = full.where("block % 2 = 1").select("key", F.col("block").alias("left"), F.col("held").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), parts * 2 - 1)).alias("right"))
     left = left.where("right % 2 = 0 OR right >= left")
     both = left.join(full.select("key", F.col("block").alias("right"), F.col("held").alias("two")), ["key", "right"])
-    return both.select("left", "right", "one", "two").mapInArrow(_blocks_alike, "a long, b long").distinct()
+    return both.select("key", "left", "right", "one", "two").mapInArrow(_blocks_alike, "a long, b long").distinct()
