@@ -1,4 +1,4 @@
-"""Web Mercator, tile bounds and UTM as column expressions, all inside generated code."""
+"""Web Mercator and tile bounds as column expressions inside generated code, and the choice between systems."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mapweave.functions.utm import lon_lat_to_utm, utm_to_lon_lat
+
 #: Fixed values of the projection and the tile scheme.
 RADIUS = 6378137.0
 MAX_LAT = 85.05112877980659
@@ -36,52 +38,10 @@ def tile_bounds(z: Column, x: Column, y: Column) -> dict[str, Column]:
     }
 
 
-# Transverse Mercator on WGS 84 by Krüger's series in the third flattening.
-_F = 1 / 298.257223563
-_N = _F / (2 - _F)
-_A = RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
-_K0, _EAST, _SOUTH = 0.9996, 500000.0, 10000000.0
-
-
 def is_utm(crs: Column) -> Column:
     return crs.between(32601, 32660) | crs.between(32701, 32760)
 
 
-def _zone(crs: Column) -> tuple[Column, Column]:
-    """Central meridian in radians, and the false northing."""
-    return F.radians((crs % 100) * 6 - 183), F.when(crs >= 32700, F.lit(_SOUTH)).otherwise(F.lit(0.0))
-
-
-def utm_to_lon_lat(crs: Column, east: Column, north: Column) -> tuple[Column, Column]:
-    meridian, false = _zone(crs)
-    xi, eta = (north - false) / F.lit(_K0 * _A), (east - F.lit(_EAST)) / F.lit(_K0 * _A)
-    a, b = xi, eta
-    for j, beta in enumerate(_BETA, 1):
-        a = a - F.lit(beta) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        b = b - F.lit(beta) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi
-    for j, delta in enumerate(_DELTA, 1):
-        lat = lat + F.lit(delta) * F.sin(2 * j * chi)
-    return F.degrees(meridian + F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
-
-
-def lon_lat_to_utm(crs: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
-    meridian, false = _zone(crs)
-    e = 2 * math.sqrt(_N) / (1 + _N)
-    s, d = F.sin(F.radians(lat)), F.radians(lon) - meridian
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, alpha in enumerate(_ALPHA, 1):
-        x = x + F.lit(alpha) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + F.lit(alpha) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.lit(_EAST) + F.lit(_K0 * _A) * x, false + F.lit(_K0 * _A) * y
-
-
 def supported(crs: Column) -> Column:
     """Geographic WGS 84, Web Mercator and the UTM zones of WGS 84."""
     return crs.isin(4326, 3857) | is_utm(crs)
@@ -92,18 +52,18 @@ def to_lon_lat(crs: Column, x: Column, y: Column, utm: bool = False) -> tuple[Co
     out = []
     for k, (plain, merc) in enumerate(zip((x, y), mercator_to_lon_lat(x, y), strict=True)):
         case = F.when(crs == 4326, plain).when(crs == 3857, merc)
-        out.append(case.when(is_utm(crs), utm_to_lon_lat(crs, x, y)[k]) if utm else case)
+        out.append(case.when(is_utm(crs), utm_to_lon_lat(crs, x, y)[("x", "y")[k]]) if utm else case)
     return tuple(out)
 
 
 def to_crs(source: Column, target: Column, x: Column, y: Column, clamp: bool = True, utm: bool = False) -> tuple[Column, Column]:
     """Coordinates from one supported system to another; the same system changes nothing.
 
-    The series of UTM make long expressions: pass utm=True where zones occur.
+    UTM zones are computed in Python: pass utm=True where they occur.
     """
     lon, lat = to_lon_lat(source, x, y, utm)
     out = []
     for k, (plain, merc) in enumerate(zip((x, y), lon_lat_to_mercator(lon, lat, clamp), strict=True)):
         case = F.when(source == target, plain).when(target == 4326, (lon, lat)[k]).when(target == 3857, merc)
-        out.append(case.when(is_utm(target), lon_lat_to_utm(target, lon, lat)[k]) if utm else case)
+        out.append(case.when(is_utm(target), lon_lat_to_utm(target, lon, lat)[("x", "y")[k]]) if utm else case)
     return tuple(out)

@@ -63,8 +63,8 @@ def source_place(grid: DataFrame, utm: bool = False) -> DataFrame:
 
 
 def outside(gx: Column, gy: Column, box: Column, crs: Column, utm: bool = False) -> Column:
-    """Whether a pixel's corner lies outside the source's extent, bounds included."""
-    (x0, y0), (x1, y1) = (to_crs(crs, F.lit(3857), box[a], box[b], clamp=False, utm=utm) for a, b in (("minx", "miny"), ("maxx", "maxy")))
+    """Whether a pixel's corner lies outside the source's extent, bounds included. Extents end at the square world's edge."""
+    (x0, y0), (x1, y1) = (to_crs(crs, F.lit(3857), box[a], box[b], utm=utm) for a, b in (("minx", "miny"), ("maxx", "maxy")))
     edge = F.lit(EDGE)
     return (gx < F.least(x0, x1) - edge) | (gx > F.greatest(x0, x1) + edge) | (gy < F.least(y0, y1) - edge) | (gy > F.greatest(y0, y1) + edge)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import colour
 from mapweave.functions.mercator import TILE, is_utm
-from mapweave.functions.palettes import NAMES
+from mapweave.functions.palettes import is_palette
 from mapweave.operators import raster
 from mapweave.operators.catalog import first_per_name
 
@@ -37,8 +37,14 @@ def coloured(values: DataFrame, channels: Sequence[Column]) -> DataFrame:
     return values.select(*KEY, "px", "py", *(c.alias(n) for c, n in zip(channels, colour.CHANNELS, strict=True)))
 
 
-def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: int = TILE, palettes: Sequence[str] = NAMES) -> DataFrame:
-    """layer, z, x, y, px, py, r, g, b, a. `palettes` narrows the built-in ones that the layers can name."""
+def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: int = TILE, palettes: Sequence[str] | None = None) -> DataFrame:
+    """layer, z, x, y, px, py, r, g, b, a.
+
+    `palettes` are the built-in ones that the layers can name; by default those
+    of the given layers, nine at most: each is a part of the colour expression.
+    """
+    if palettes is None:
+        palettes = [r["style"] for r in layers.select("style").where(is_palette(F.col("style"))).distinct().collect()]
     values = tile_values(requests, layers, pixels, size)
     return coloured(values, colour.colourise(F.col("style"), F.col("v"), F.col("min_value"), F.col("max_value"), F.col("colour_stops"), palettes))
 
