@@ -1,12 +1,14 @@
 """License notices in texts with built-in functions only (operator 1).
 
-A text's words are cut into overlapping windows of two sizes. Of each window the
+A text's words are cut into overlapping windows of six sizes, so that every
+notice has windows of at most twice its own length around it. Of each window the
 5-word shingles that occur in any template count; other shingles cannot add to a
-template's containment, so windows without such shingles are not built. 32
-MinHash bands of one minimum each retrieve templates: a window and a template
-that share a quarter of their shingles meet in a band with probability 0.9999.
-A retrieved template matches when the window holds at least three quarters of
-its shingles, counted exactly.
+template's containment, so windows without such shingles are not built. MinHash
+bands of one minimum each retrieve templates: a whole notice of five words is at
+least a quarter of the shingles of its smallest window, a longer one more, and
+misses all 64 bands with a probability of 1e-8 at most. A retrieved template
+matches when the window holds at least three quarters of its shingles, counted
+exactly.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.secrets import let
 
-SHINGLE, BANDS, PERCENT = 5, 32, 75
+SHINGLE, BANDS, PERCENT = 5, 64, 75
 #: Words of a window and words from one window to the next.
-WINDOWS = ((256, 128), (32, 16))
+WINDOWS = tuple((2 * step, step) for step in (4, 8, 16, 32, 64, 128))
 WORD_GAP = "[^a-z0-9]+"
 
 #: Notices and opening paragraphs of public licenses.
