@@ -30,6 +30,8 @@ RUN = "[A-Za-z0-9+/=_-]{20,}"
 SMOOTH = 0.5
 #: A run is a secret from these nats in all and for each transition.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.35
+#: Rules of one sign and other runs of few different characters are no secrets.
+LEAST_DISTINCT = 8
 MASK = "[REDACTED]"
 
 #: Words that ordinary identifiers of the labelled samples are made of.
@@ -107,7 +109,7 @@ class MarkovModels:
             return F.aggregate(F.sequence(F.lit(1), F.size(at) - 1), F.lit(0.0), lambda a, i: a + F.get(table, F.get(at, i - 1) * n + F.get(at, i)))
 
         at = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        return let(F.filter(at, lambda i: i >= 0), lambda a: F.when(F.size(a) < 2, F.lit(False)).otherwise(let(total(a), lambda t: (t >= LEAST_TOTAL) & (t >= LEAST_MEAN * (F.size(a) - 1)))))
+        return let(F.filter(at, lambda i: i >= 0), lambda a: F.when(F.size(F.array_distinct(a)) < LEAST_DISTINCT, F.lit(False)).otherwise(let(total(a), lambda t: (t >= LEAST_TOTAL) & (t >= LEAST_MEAN * (F.size(a) - 1)))))
 
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
