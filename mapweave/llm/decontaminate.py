@@ -195,7 +195,13 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         part = scratch.save(index.mapInArrow(_search([tuple(r) for r in block.collect()], window, slop), kind), f"pass-{k}")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("shard", "at").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("lists", lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-1) + F.floor(F.size(s) / 2).cast("int")), lambda i: F.sequence(F.get(s, 2 * i), F.get(s, 2 * i + 1) - 1)))))))
+
+    def places(s):
+        """The word positions of a list of spans."""
+        pairs = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.floor(F.size(s) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(pairs, lambda i: F.sequence(F.get(s, 2 * i), F.get(s, 2 * i + 1) - 1)))
+
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("lists", places))))
     singles = F.flatten(F.transform(covered, lambda p: F.array(p, p + 1)))
     return merged.select("shard", "at", "doc_id", "n_words", singles.alias("spans"), "items", "near_items")
 
