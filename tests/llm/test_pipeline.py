@@ -1,0 +1,50 @@
+"""The pipeline's stages against plain versions."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from mapweave.llm import secrets  # noqa: E402
+from tests.llm.test_llm import brute_base, brute_components, brute_contamination, docs_of, speech  # noqa: E402
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    import random
+
+    rng = random.Random(20)
+    item = " ".join(f"bench{i}" for i in range(20))
+    texts = [speech(rng, x, 60) for x in ("aa", "bb", "cc") * 8]
+    langs = ["aa", "bb", "cc"] * 8
+    extra = [texts[3], texts[4] + " tail", "12345 !!", None, "", "abc " + item, texts[5][:200] + " token = 04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    docs = docs_of(spark, texts + extra, langs + [None] * len(extra)).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(docs_of(spark, [texts[0]], ids=[None])).drop("score", "set")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    run = lambda name, d: spark.createDataFrame(stage[name](spark, d, str(tmp_path)).collect(), d.schema)
+
+    one = run("language_id", docs)
+    lettered = [r for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, lettered))
+
+    two = run("near_dedup", one)
+    named = sorted((r["doc_id"], r["text"]) for r in one.collect() if r["doc_id"] is not None)
+    kept = {named[c[0]][0] for c in brute_components([t for _, t in named]) if c[3]}
+    assert sorted((r["doc_id"] for r in two.collect()), key=repr) == sorted([*kept, None], key=repr)
+
+    three = run("decontamination", two)
+    held = [r["text"] for r in two.collect()]
+    clean = [held[c[0]] for c in brute_contamination(held, [(1, item)]) if not c[4]]
+    assert sorted(r["text"] for r in three.collect()) == sorted(clean) and len(clean) < len(held)
+
+    four = run("secret_redaction", three)
+    assert four.count() == three.count() and four.columns == docs.columns
+    for r in four.collect():
+        assert not brute_base(r["text"])
+        if secrets.MASK in r["text"]:
+            assert r["n_chars"] == len(r["text"]) and not re.search("04dbebab", r["text"])
+
+    five = stage["bpe"](spark, four, str(tmp_path))
+    assert five.count() == four.count() and five.columns[:2] == ["doc_id", "n_tokens"]
