@@ -78,15 +78,27 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
 
+STEPS = (1, 2, 3, 4, 5, 6, 8)
+#: Places of features in a row of features().
+SHARES, RATIO, LENGTH = slice(3, 3 + len(STEPS)), 3 + len(STEPS), 5 + len(STEPS)
+
+
 def features(texts: list[str], toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Most bytes saved by a window, bytes saved in all and above one, share of windows with 3 and with 6 saved, and length."""
+    """What the toxic dictionary saves over a text's windows, against the ordinary one.
+
+    The most bytes in a window, all bytes and those above one for each length;
+    the shares of windows that save STEPS bytes or more; the ordinary ratio of
+    compression; the spread of the savings; the length; and what is lost.
+    """
     one, two = _compressor(ordinary).compress, _compressor(toxic).compress
-    out = np.zeros((len(texts), 6))
+    out = np.zeros((len(texts), len(STEPS) + 7))
     for i, text in enumerate(texts):
         data = b" " + text.encode().translate(_LOWER)
-        saved = np.array([len(one(w)) - len(two(w)) for w in windows(data)])
-        n = len(data) + 100
-        out[i] = saved.max(), 100 * saved.sum() / n, 100 * np.maximum(saved - 1, 0).sum() / n, (saved >= 3).sum() / (len(saved) + 2), (saved >= 6).sum() / (len(saved) + 2), np.log(n)
+        cut = list(windows(data))
+        plain = np.array([len(one(w)) for w in cut])
+        saved = plain - np.array([len(two(w)) for w in cut])
+        n, m = len(data) + 100, len(cut) + 2
+        out[i] = saved.max(), 100 * saved.sum() / n, 100 * np.maximum(saved - 1, 0).sum() / n, *((saved >= k).sum() / m for k in STEPS), plain.sum() / n, saved.std(), np.log(n), 100 * np.minimum(saved, 0).sum() / n
     return out
 
 
@@ -112,10 +124,10 @@ class Model:
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = self._design(x)
         self.curve = np.zeros(x.shape[1])
-        for _ in range(30):
+        for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
-            hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
-            self.curve += np.linalg.solve(hess, x.T @ (y - p) - 0.1 * self.curve)
+            hess = (x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(x.shape[1])
+            self.curve += np.linalg.solve(hess, x.T @ (y - p) - 0.3 * self.curve)
         z = x @ self.curve
         order = np.argsort(-z)
         right = np.cumsum(y[order])
@@ -124,7 +136,8 @@ class Model:
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.spread, -4, 4)
-        return np.column_stack((np.ones(len(z)), z, z[:, :5] ** 2, z[:, :5] * z[:, 5:]))
+        signs = z[:, : SHARES.stop]
+        return np.column_stack((np.ones(len(z)), z, z[:, :3] ** 2, signs * z[:, LENGTH, None], signs * z[:, RATIO, None]))
 
     def score(self, texts: list[str]) -> np.ndarray:
         """0 to 1 for each text; 0.5 is the calibrated threshold. With one label only, the rate of label 1."""
