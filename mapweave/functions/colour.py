@@ -25,9 +25,9 @@ def normalise(v: Column, low: Column, high: Column) -> Column:
     return F.when(place.isNotNull(), F.greatest(f32(0), F.least(f32(1), place)))  # both pass over nulls
 
 
-def grayscale(v: Column, low: Column, high: Column) -> list[Column]:
-    """A constant raster is black."""
-    lum = F.floor(F.coalesce(normalise(v, low, high), f32(0)) * f32(255)).cast("int")
+def grayscale(v: Column, low: Column, high: Column, norm: Column | None = None) -> list[Column]:
+    """A constant raster is black. `norm` is normalise() where a column holds it already, here and below."""
+    lum = F.floor(F.coalesce(normalise(v, low, high) if norm is None else norm, f32(0)) * f32(255)).cast("int")
     return [F.when(v.isNull(), 0).otherwise(lum)] * 3 + [F.when(v.isNull(), 0).otherwise(255)]
 
 
@@ -42,9 +42,9 @@ def rescale(norm: Column, first: Column, last: Column) -> Column:
     return first + norm * (last - first)
 
 
-def stops_literal(v: Column, low: Column, high: Column, stops: Sequence[Stop]) -> list[Column]:
+def stops_literal(v: Column, low: Column, high: Column, stops: Sequence[Stop], norm: Column | None = None) -> list[Column]:
     """Colour stops known to the driver, in file order, as one CASE chain: the first interval that holds the value wins."""
-    scaled = rescale(normalise(v, low, high), f32(stops[0][0]), f32(stops[-1][0]))
+    scaled = rescale(normalise(v, low, high) if norm is None else norm, f32(stops[0][0]), f32(stops[-1][0]))
     out = []
     for k in range(1, 5):
         case = F.when(v.isNull(), 0)
@@ -54,24 +54,24 @@ def stops_literal(v: Column, low: Column, high: Column, stops: Sequence[Stop]) -
     return out
 
 
-def stops_column(v: Column, low: Column, high: Column, stops: Column) -> list[Column]:
+def stops_column(v: Column, low: Column, high: Column, stops: Column, norm: Column | None = None) -> list[Column]:
     """Colour stops in an array column, for styles that only the data know."""
-    scaled = rescale(normalise(v, low, high), F.element_at(stops, 1)["value"], F.element_at(stops, -1)["value"])
+    scaled = rescale(normalise(v, low, high) if norm is None else norm, F.element_at(stops, 1)["value"], F.element_at(stops, -1)["value"])
     pairs = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     hit = F.get(F.filter(pairs, lambda p: (scaled >= p["a"]["value"]) & (scaled <= p["b"]["value"])), F.lit(0))
     return [F.when(v.isNull() | hit.isNull(), 0).otherwise(_between(scaled, f32(hit["a"][c]), f32(hit["b"][c]), hit["a"]["value"], hit["b"]["value"])) for c in STOP_FIELDS]
 
 
-def palette(name: str, v: Column, low: Column, high: Column) -> list[Column]:
+def palette(name: str, v: Column, low: Column, high: Column, norm: Column | None = None) -> list[Column]:
     """A constant raster gets the palette's first colour."""
-    t = F.coalesce(normalise(v, low, high), f32(0)).cast("double")
+    t = F.coalesce(normalise(v, low, high) if norm is None else norm, f32(0)).cast("double")
     return [F.when(v.isNull(), 0).otherwise(c) for c in gradient(name, t)]
 
 
-def colourise(style: Column, v: Column, low: Column, high: Column, stops: Column, palettes: Sequence[str] = NAMES) -> list[Column]:
+def colourise(style: Column, v: Column, low: Column, high: Column, stops: Column, palettes: Sequence[str] = NAMES, norm: Column | None = None) -> list[Column]:
     """By a built-in palette of the style's name, else gray without stops, else by the stops."""
-    by_name = [(n, palette(n, v, low, high)) for n in palettes]
-    gray, ramp = grayscale(v, low, high), stops_column(v, low, high, stops)
+    by_name = [(n, palette(n, v, low, high, norm)) for n in palettes]
+    gray, ramp = grayscale(v, low, high, norm), stops_column(v, low, high, stops, norm)
     out = []
     for k in range(4):
         case = F.when(F.size(stops) <= 0, gray[k]).otherwise(ramp[k])

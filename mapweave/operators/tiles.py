@@ -18,7 +18,7 @@ KEY = ("layer", "z", "x", "y")
 
 
 def tile_values(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: int = TILE) -> DataFrame:
-    """Every pixel of the requested tiles with its masked value v and its layer's columns.
+    """Every pixel of the requested tiles with its masked value v, its place norm in the layer's range, and its layer's columns.
 
     `requests` has layer, z, x, y. Requests of unknown layers give no rows; of
     layers with one name the first by path serves. A tile off the raster, or
@@ -30,7 +30,9 @@ def tile_values(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size:
     grid = raster.source_place(raster.tile_grid(asked, size), utm)
     warped = raster.warp_nearest(grid, pixels)
     hidden = raster.outside(F.col("gx"), F.col("gy"), F.col("extent"), F.col("crs_code"), utm)
-    return warped.withColumn("v", F.when(~hidden, raster.visible(F.col("v"), F.col("nodata"))))
+    masked = warped.withColumn("v", F.when(~hidden, raster.visible(F.col("v"), F.col("nodata"))))
+    # A column of its own: the colour expressions use it many times, and a copy in each would outgrow generated code.
+    return masked.withColumn("norm", colour.normalise(F.col("v"), F.col("min_value"), F.col("max_value")))
 
 
 def coloured(values: DataFrame, channels: Sequence[Column]) -> DataFrame:
@@ -46,7 +48,7 @@ def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: i
     if palettes is None:
         palettes = [r["style"] for r in layers.select("style").where(is_palette(F.col("style"))).distinct().collect()]
     values = tile_values(requests, layers, pixels, size)
-    return coloured(values, colour.colourise(F.col("style"), F.col("v"), F.col("min_value"), F.col("max_value"), F.col("colour_stops"), palettes))
+    return coloured(values, colour.colourise(F.col("style"), F.col("v"), F.col("min_value"), F.col("max_value"), F.col("colour_stops"), palettes, F.col("norm")))
 
 
 def tile_png(rgba: DataFrame, size: int = TILE) -> DataFrame:

@@ -46,7 +46,8 @@ def _tile(style: str, channels: Callable | None, stops: Sequence[colour.Stop] =
     def run(spark: SparkSession, d: str) -> DataFrame:
         values = tiles.tile_values(_request(spark, *keys), _layer(spark, d, style, stops), _pixels(spark, d))
         v = [F.col(c) for c in ("v", "min_value", "max_value")]
-        found = channels(*v) if channels else colour.colourise(F.col("style"), *v, F.col("colour_stops"), ())
+        norm = F.col("norm")
+        found = channels(*v, norm=norm) if channels else colour.colourise(F.col("style"), *v, F.col("colour_stops"), (), norm)
         out = tiles.coloured(values, found)
         return out.select("px", "py", *colour.CHANNELS) if len(keys) == 1 else out.drop("layer")
 
@@ -283,10 +284,10 @@ def format_mib(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "tile_grayscale": _tile("grayscale", colour.grayscale),
-    "tile_stops": _tile("default", lambda *v: colour.stops_literal(*v, fx.STOPS), fx.STOPS),
+    "tile_stops": _tile("default", lambda *v, norm: colour.stops_literal(*v, fx.STOPS, norm=norm), fx.STOPS),
     "tile_stops_column": _tile("default", None, fx.STOPS),
-    "tile_gradient": _tile("viridis", lambda *v: colour.palette("viridis", *v)),
-    "tile_batch": _tile("default", lambda *v: colour.stops_literal(*v, fx.STOPS), fx.STOPS, BATCH),
+    "tile_gradient": _tile("viridis", lambda *v, norm: colour.palette("viridis", *v, norm=norm)),
+    "tile_batch": _tile("default", lambda *v, norm: colour.stops_literal(*v, fx.STOPS, norm=norm), fx.STOPS, BATCH),
 } | {
     f.__name__: f
     for f in (
