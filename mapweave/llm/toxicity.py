@@ -2,9 +2,9 @@
 
 Two dictionaries are learned. Both hold what zstandard's trainer picks from
 ordinary text; the toxic one adds word beginnings that occur in far more toxic
-than ordinary training texts, the ordinary one as many bytes of filler, so that
-both cost alike on ordinary words. Every text is cut into short windows at
-spaces. How many bytes a window saves with the toxic dictionary is its
+than ordinary training texts, the ordinary one the same with a character of each
+broken, so that parts of them in ordinary words cost alike in both. Every text is
+cut into short windows at spaces. How many bytes a window saves with the toxic dictionary is its
 distance; the distances of all windows give the text's features, and a logistic
 curve with a threshold calibrated on texts the dictionaries did not see gives
 the score.
@@ -26,7 +26,7 @@ from mapweave.llm import wordhash
 WINDOW = 64
 #: Bounds of the training sample: rows of each label, taken by a hash of their id, and characters of each of their texts.
 TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 4000, 6000, 20_000
-BASE_BYTES, PIECES = 16_384, 60
+BASE_BYTES, PIECES, FOLDS = 16_384, 60, 5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -66,7 +66,7 @@ def learn_dictionaries(toxic: list[bytes], ordinary: list[bytes], ratio: float =
             # The longest form that is about as telling saves the most bytes.
             picked.append(max((q for q in gain if q.startswith(p) and gain[q] >= 0.7 * gain[p]), key=len))
     extra = b"".join(b" " + p for p in reversed(picked)) or b" " * 8
-    fill = bytes(np.random.default_rng(1).integers(1, 9, len(extra), dtype=np.uint8))
+    fill = b"".join(b" " + p[:3] + b"\x01" + p[4:] for p in reversed(picked)) or b" " * 8
     return base + extra, base + fill
 
 
@@ -74,7 +74,7 @@ def learn_dictionaries(toxic: list[bytes], ordinary: list[bytes], ratio: float =
 def _compressor(dictionary: bytes):
     import zstandard
 
-    how = zstandard.ZstdCompressionParameters(window_log=16, chain_log=15, hash_log=15, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstandard.ZstdCompressionParameters(window_log=16, chain_log=15, hash_log=15, search_log=6, min_match=5, strategy=zstandard.STRATEGY_LAZY2, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
     return zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
 
@@ -111,12 +111,13 @@ class Model:
         if not self.ready:
             return
         low = [[t.encode().translate(_LOWER) for t in side] for side in (toxic, ordinary)]
-        # Each half is scored with dictionaries of the other one: the curve must not see what they learned.
+        # Each fold is scored with dictionaries of the others: the curve must not see what they learned,
+        # and they must be about as strong as those of the score.
         x, y = [], []
-        for k in range(2):
-            pair = learn_dictionaries(low[0][k::2] or low[0], low[1][k::2] or low[1])
+        for k in range(FOLDS):
+            pair = learn_dictionaries(*([t for i, t in enumerate(side) if i % FOLDS != k] or side for side in low))
             for label, side in enumerate((ordinary, toxic)):
-                held = side[1 - k :: 2] or side
+                held = side[k::FOLDS]
                 x.append(features(held, *pair))
                 y += [label] * len(held)
         self.toxic, self.ordinary = learn_dictionaries(*low)
@@ -131,7 +132,9 @@ class Model:
         z = x @ self.curve
         order = np.argsort(-z)
         right = np.cumsum(y[order])
-        best = int((2 * right / (np.arange(1, len(y) + 1) + y.sum())).argmax())
+        f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+        # The best one alone hangs on single texts: of those about as good, the lowest loses the fewest toxic texts.
+        best = int(np.flatnonzero(f1 >= f1.max() - 0.01)[-1])
         self.threshold = float(z[order[best]]) - 1e-9
 
     def _design(self, x: np.ndarray) -> np.ndarray:

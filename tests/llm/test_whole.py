@@ -1,8 +1,11 @@
 """Cases in which the operators once did less than the whole job."""
 
 import re
+import zlib
 
-from mapweave.llm import licenses
+import numpy as np
+
+from mapweave.llm import licenses, toxicity
 
 # 1 licenses
 
@@ -41,3 +44,20 @@ def test_short_notices_part_the_versions(spark):
     }
     assert found_in(spark, list(cases)) == list(cases.values())
     assert found_in(spark, [" ".join(cases)]) == [sorted({n for x in cases.values() for n in x})]
+
+
+# 8 toxicity
+
+
+def test_held_out_toxic_texts_are_caught():
+    import pyarrow.parquet as pq
+
+    labels = dict(zip(*pq.read_table("/root/testdata/sf0.1/labels.parquet", columns=["doc_id", "toxic"]).to_pydict().values(), strict=True))
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    rows = [(i, t, labels[i]) for i, t in zip(docs["doc_id"], docs["text"], strict=True) if t is not None and labels.get(i) in (0, 1)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows]
+    model = toxicity.Model(*([t for (_, t, y), h in zip(rows, held, strict=True) if y == k and not h] for k in (1, 0)))
+    test = [r for r, h in zip(rows, held, strict=True) if h]
+    truth, got = np.array([y for _, _, y in test]) == 1, model.score([t for _, t, _ in test]) >= 0.5
+    assert (truth & got).sum() >= 0.75 * truth.sum()
+    assert (truth & got).sum() >= 0.8 * got.sum()
