@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from mapweave.llm import wordhash
 
 WINDOW = 64
-#: Bounds of the training sample: rows of each label, taken by a hash of their id, and characters of each of their texts.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 4000, 6000, 20_000
+#: Bounds of the training sample: rows of each label, taken by a hash of their id. Their texts are read whole.
+TOXIC_ROWS, ORDINARY_ROWS = 4000, 6000
 BASE_BYTES, PIECES, FOLDS = 16_384, 60, 5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = [marked.where((F.col("toxic") == k) & (place < int(min(1.0, 1.2 * n / max(1, count.get(k, 0))) * 1_000_000))).orderBy(place, "id").limit(n) for k, n in most.items()]
     rows = docs.join(picked[0].unionByName(picked[1]), F.col("doc_id") == F.col("id")).where("text IS NOT NULL")
     sides: dict[int, list[str]] = {0: [], 1: []}
-    for label, text in sorted(rows.select("toxic", F.substring("text", 1, TRAIN_CHARS)).toLocalIterator(), key=tuple):
+    for label, text in sorted(rows.select("toxic", "text").toLocalIterator(), key=tuple):
         sides[label].append(text)
     return Model(sides[1], sides[0])
 

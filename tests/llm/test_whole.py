@@ -61,3 +61,11 @@ def test_held_out_toxic_texts_are_caught():
     truth, got = np.array([y for _, _, y in test]) == 1, model.score([t for _, t, _ in test]) >= 0.5
     assert (truth & got).sum() >= 0.75 * truth.sum()
     assert (truth & got).sum() >= 0.8 * got.sum()
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: (toxic, ordinary))
+    long = "ordinary words " * 3000 + "nastyslur"
+    docs = spark.createDataFrame([(1, long), (2, long[:-10]), (3, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) == ([long], [long[:-10], "short"])
