@@ -24,7 +24,7 @@ from mapweave.llm import wordhash
 
 LONG = 1024
 #: Cells of one matrix, and pre-tokens whose ids a worker remembers.
-CELLS, REMEMBERED = 1 << 20, 300_000
+CELLS, REMEMBERED = 1 << 19, 150_000
 _NONE = np.int64(1 << 40)
 
 
@@ -162,6 +162,7 @@ def load(path: str) -> Bpe:
 
 
 _ids: dict[tuple[str, str], dict[str, bytes]] = {}
+wordhash.forget.append(_ids.clear)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
@@ -188,7 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             found = encode_texts([t or "" for t in batch.column("text").to_pylist()], path, pattern)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(wordhash.tidy(rows), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -201,7 +202,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [bpe.decode(np.frombuffer(data[a:b].tobytes(), "<u4")).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(wordhash.tidy(rows), "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -221,4 +222,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(wordhash.tidy(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -53,7 +53,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of `docs` (doc_id, text): one row for each shard. Save it before searching it."""
-    return docs.select("doc_id", "text").mapInArrow(_postings, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(wordhash.tidy(_postings), INDEX)
 
 
 class Shard:
@@ -188,11 +188,11 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     passes = total // PASS_BYTES + 1
     kind = "shard string, at int, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>"
     if passes == 1:
-        return index.mapInArrow(_search([tuple(r) for r in items.collect()], window, slop), kind)
+        return index.mapInArrow(wordhash.tidy(_search([tuple(r) for r in items.collect()], window, slop)), kind)
     scratch, found = Scratch(spark, "decontaminate"), None
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        part = scratch.save(index.mapInArrow(_search([tuple(r) for r in block.collect()], window, slop), kind), f"pass-{k}")
+        part = scratch.save(index.mapInArrow(wordhash.tidy(_search([tuple(r) for r in block.collect()], window, slop)), kind), f"pass-{k}")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("shard", "at").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")))
 

@@ -6,13 +6,16 @@ numpy for each step; none loops over characters or words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: bounds the memory of a worker.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Called at the end of every task, to let go of what a worker remembers between batches.
+forget: list[Callable[[], None]] = []
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,6 +24,36 @@ _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=_U)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=_U) | _U(1)
 _powers: dict[str, np.ndarray] = {}
+forget.append(_powers.clear)
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(kernel: Kernel) -> Kernel:
+    """The kernel of a mapInArrow() that gives its memory back to the system at the end of a task.
+
+    Spark keeps workers for later tasks, whose stages would find the memory of
+    all earlier ones still held.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return rows
+
+
+def release() -> None:
+    """Frees what the worker remembers and what its allocators hold in reserve."""
+    for drop in forget:
+        drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def byte_table(word: callable) -> np.ndarray:
@@ -104,7 +137,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     total = np.zeros(n, _U)
     np.cumsum(_BYTE[data] * _powers["up"][: n - 1], out=total[1:])
     out = mix((total[ends] - total[starts]) * _powers["down"][starts] + (ends - starts).astype(_U))
-    if n > 2 * CHUNK:
+    if n > 4 * CHUNK:
         _powers.clear()
     return out
 
