@@ -8,6 +8,12 @@ share it: over all piece lengths, the best of an ancestor's score and the score
 of the piece that leads from there. Nodes at which pre-tokens end keep the number
 of pieces of their best path, their terminal count.
 
+Where no piece holds two neighbouring characters side by side, every path ends a
+piece between them. Pre-tokens are cut there before they go into the trie, which
+changes no count and makes short parts of lines and of scripts without spaces.
+Once the prefixes that are left belong to one pre-token each, nothing is shared
+any more, and few such branches are followed one by one to their ends.
+
 Piece scores are Zipf's: the piece of rank r among the vocabulary's pieces has
 -log(r + 1). A character that is no piece costs UNKNOWN and counts as one token
 for each of its bytes. Among equal totals the longer last piece wins.
@@ -26,10 +32,10 @@ from mapweave.llm import wordhash
 
 SPACE = "▁"
 UNKNOWN = -30.0
-#: Longer pre-tokens would make a chain of levels of one node; each is counted by itself.
-LONG = 256
+#: Branches that nothing else shares are followed one by one if there are so few.
+FEW = 64
 #: Distinct pre-tokens whose counts a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 
@@ -52,6 +58,8 @@ class Unigram:
             while self.values[at] > -np.inf:
                 at = (at + 1) % len(self.keys)
             self.keys[at], self.values[at] = key, score
+        #: Characters that stand side by side in a piece.
+        self.inside = np.unique(np.array([ord(x) << 21 | ord(y) for p in self.scores for x, y in zip(p, p[1:], strict=False)], np.int64))
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -71,31 +79,57 @@ class Unigram:
             todo = todo[(out[todo] > -np.inf) & (self.keys[at[todo]] != h[todo])]
         return out
 
-    def count_one(self, token: str) -> int:
-        """counts() of one long pre-token, by the same scores without a trie."""
-        totals, pieces = [0.0], [0]
-        for end in range(1, len(token) + 1):
+    def parts(self, tokens: list[str]) -> list[list[str]]:
+        """Each pre-token in parts that no piece spans."""
+        flat = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(np.array([len(t) for t in tokens], np.int64))
+        pairs = flat[:-1] << 21 | flat[1:]
+        at = np.searchsorted(self.inside, pairs)
+        apart = np.ones(len(pairs), bool) if not len(self.inside) else self.inside[np.minimum(at, len(self.inside) - 1)] != pairs
+        apart[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(flat))] - 1] = False  # between two pre-tokens
+        cuts = np.flatnonzero(apart) + 1
+        of = np.searchsorted(ends, cuts, "right")
+        out = [[t] for t in tokens]
+        if not len(cuts):
+            return out
+        edges = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=True):
+            i = int(of[a])
+            start = int(ends[i]) - len(tokens[i])
+            places = [0, *(cuts[a:b] - start).tolist(), len(tokens[i])]
+            out[i] = [tokens[i][x:y] for x, y in zip(places, places[1:], strict=False)]
+        return out
+
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """The number of pieces on the best path of each pre-token."""
+        cut = self.parts(tokens)
+        distinct = list({p for c in cut for p in c})
+        of = dict(zip(distinct, self._trie(distinct).tolist(), strict=True))
+        return np.array([sum(map(of.__getitem__, c)) for c in cut], np.int64)
+
+    def _branch(self, token: str, depth: int, totals: list[float], pieces: list[int]) -> int:
+        """The count of a pre-token whose prefixes from `depth` on are its own; totals and pieces are those of its last prefixes, the shortest first."""
+        first = depth + 1 - len(totals)
+        for end in range(depth + 1, len(token) + 1):
             best, count = -np.inf, 0
-            for size in range(1, min(end, self.longest) + 1):
-                score = self.scores.get(token[end - size : end])
-                if score is not None and totals[end - size] + score >= best:
-                    best, count = totals[end - size] + score, pieces[end - size] + 1
+            for size in range(1, min(end - first, self.longest) + 1):
+                score, at = self.scores.get(token[end - size : end]), end - size - first
+                if score is not None and totals[at] + score >= best:
+                    best, count = totals[at] + score, pieces[at] + 1
                 elif score is None and size == 1:
-                    best, count = totals[end - 1] + UNKNOWN, pieces[end - 1] + len(token[end - 1].encode())
+                    best, count = totals[at] + UNKNOWN, pieces[at] + len(token[end - 1].encode("utf-8", "surrogatepass"))
             totals.append(best)
             pieces.append(count)
         return pieces[-1]
 
-    def counts(self, tokens: list[str]) -> np.ndarray:
-        """The number of pieces on the best path of each distinct pre-token."""
+    def _trie(self, tokens: list[str]) -> np.ndarray:
+        """The number of pieces on the best path of each of the distinct strings."""
         out = np.zeros(len(tokens), np.int64)
         rank = sorted(range(len(tokens)), key=tokens.__getitem__)
-        flat = np.frombuffer("".join(tokens[i] for i in rank).encode("utf-32-le"), np.uint32)
+        flat = np.frombuffer("".join(tokens[i] for i in rank).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(tokens[i]) for i in rank], np.int64)
         start = np.cumsum(size) - size
-        rows = np.flatnonzero((size > 0) & (size <= LONG))
-        for i in np.flatnonzero(size > LONG).tolist():
-            out[rank[i]] = self.count_one(tokens[rank[i]])
+        rows = np.flatnonzero(size > 0)
         node = np.zeros(len(tokens), np.int64)
         # Level by level; of each the nodes' parents, characters, best totals, counts and hashes of their last characters.
         parents, totals, pieces = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
@@ -127,6 +161,16 @@ class Unigram:
             over = size[rows] == depth
             out[np.array(rank)[rows[over]]] = count[node[rows[over]]]
             rows = rows[~over]
+            if 0 < len(rows) <= FEW and len(np.unique(node[rows])) == len(rows):
+                for row in rows.tolist():
+                    at, path = int(node[row]), []
+                    for back, (ups, _) in enumerate(trail):
+                        path.append((float(totals[back][at]), int(pieces[back][at])))
+                        at = int(ups[at])
+                    if len(trail) < self.longest:  # from the root on
+                        path.append((0.0, 0))
+                    out[rank[row]] = self._branch(tokens[rank[row]], depth, *(list(x) for x in zip(*path[::-1], strict=True)))
+                break
         return out
 
 
@@ -145,7 +189,7 @@ def load(path: str) -> Unigram:
 
 
 def pre_tokens(text: str) -> list[str]:
-    """Words at the spaces of the text, each after a space mark; other white space stays in the words."""
+    """Words at the spaces of the text, each after a space mark."""
     return [SPACE + w for w in text.split(" ") if w]
 
 
@@ -167,9 +211,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             n = [sum(map(known.__getitem__, c)) for c in cut]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(map(len, cut), pa.int64())], names=["doc_id", "n_tokens", "n_pre_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, n_pre_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(wordhash.tidy(rows), "doc_id long, n_tokens long, n_pre_tokens long")
 
 
 _known: dict[str, dict[str, int]] = {}
-
-
+wordhash.forget.append(_known.clear)
