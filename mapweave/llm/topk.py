@@ -10,6 +10,9 @@ A search keeps a queue of pages by the least distance that anything below can
 have. Entries whose stored parent distance already puts them beyond the k-th
 result, by the triangle inequality, are passed over without a distance. Scores
 are exact whole numbers; bounds have slack, so rounding can't lose a result.
+
+One tree is searched first. Its k-th scores are lower bounds of the final ones,
+and the other trees' searches start from them.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapweave.llm import wordhash
 from mapweave.llm.scratch import Scratch
 
 PAGE, SHARD_ROWS = 512, 16_384
@@ -50,6 +54,8 @@ class Tree:
 
     def __init__(self, pages: list[dict], size: float):
         self.pages, self.size = pages, size
+        #: Distances that searches have computed so far.
+        self.computed = 0
 
     @staticmethod
     def build(ids: np.ndarray, vectors: np.ndarray) -> "Tree":
@@ -81,17 +87,18 @@ class Tree:
             page(np.arange(len(ids)), None)
         return Tree(pages, top)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k highest (score, id), ties to smaller ids; without id `own`."""
+    def search(self, query: np.ndarray, own: int, k: int, bound: float = -np.inf) -> list[tuple[int, int]]:
+        """The k highest (score, id), ties to smaller ids; without id `own`. Scores below `bound` may be left out."""
         if not self.pages:
             return []
         square = float(query @ query) + self.size
-        scores, ids, least = np.zeros(0), np.zeros(0, np.int64), -np.inf
-        reach = np.inf  # nothing farther can be a result
+        scores, ids, least = np.zeros(0), np.zeros(0, np.int64), bound
+        beyond = lambda: np.sqrt(max(square - 2 * least, 0.0)) * (1 + SLACK) + SLACK
+        reach = beyond() if least > -np.inf else np.inf  # nothing farther can be a result
         queue: list[tuple[float, int, float]] = [(0.0, 0, -1.0)]
         while queue:
-            bound, at, parent = heapq.heappop(queue)
-            if bound > reach:
+            nearest, at, parent = heapq.heappop(queue)
+            if nearest > reach:
                 break
             page = self.pages[at]
             near = slice(None)
@@ -100,6 +107,7 @@ class Tree:
                 if not len(near):
                     continue
             inner = page["vectors"][near] @ query
+            self.computed += len(inner)
             if page["leaf"]:
                 held = page["ids"][near]
                 ok = (inner >= least) & (held != own)
@@ -108,8 +116,8 @@ class Tree:
                     best = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[best], ids[best]
                     if len(scores) == k:
-                        least = scores[-1]
-                        reach = np.sqrt(max(square - 2 * least, 0.0)) * (1 + SLACK) + SLACK
+                        least = max(bound, scores[-1])
+                        reach = beyond()
             else:
                 far = np.sqrt(np.maximum(square - 2 * inner, 0))
                 low = far - page["radius"][near]
@@ -148,10 +156,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def build_index(vectors: DataFrame) -> DataFrame:
     """One row for each M-tree over the usable rows of `vectors` (vec_id, embedding). Save it before searching it."""
-    return usable(vectors).mapInArrow(_build, INDEX)
+    return usable(vectors).mapInArrow(wordhash.tidy(_build), INDEX)
+
 
+def _search(queries: list[tuple[int, list[float], float]], k: int):
+    """queries: id, vector of whole numbers, and a score that the k-th result has at least."""
 
-def _search(queries: list[tuple[int, list[float]]], k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"ids": np.int64, "vectors": np.float64, "parent": np.float64, "radius": np.float64}
         for batch in batches:
@@ -161,14 +171,13 @@ def _search(queries: list[tuple[int, list[float]]], k: int):
                 for p in pages:
                     p["vectors"] = p["vectors"].reshape(len(p["ids"]), width)
                 tree, out = Tree(pages, row["size"]), []
-                for own, vector in queries:
+                for own, vector, bound in queries:
                     query = np.zeros(width)
-                    some = np.floor(256 * np.array(vector[:width], np.float64))
-                    query[: len(some)] = some
-                    out += [(own, i, s) for s, i in tree.search(query, own, k)]
+                    query[: len(vector[:width])] = vector[:width]
+                    out += [(own, i, s) for s, i in tree.search(query, own, k, bound)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], names=["query_id", "vec_id", "score"])
 
-    return rows
+    return wordhash.tidy(rows)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -177,19 +186,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     `vectors` and `queries` have vec_id and embedding. Rows without id, without
     vector, or with a null or non-finite component take no part. Missing
     components of a shorter vector count as zero. A query's own row is any row
-    with its id; a repeated query is answered once, repeated candidate rows
-    count each. A query without candidates has no rows. Components of up to
+    with its id; a query id that is repeated is asked once, with the least of
+    its vectors, while repeated candidate rows count each. A query without candidates has no rows. Components of up to
     2^20 in size give exact scores.
     """
     spark: SparkSession = vectors.sparkSession
     scratch = Scratch(spark, "m-tree")
     index = scratch.save(build_index(vectors), "trees")
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = usable(queries).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x).cast("double")).alias("embedding"))
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     passes = asked.count() // PASS_QUERIES + 1
-    found = None
+    head = index.agg(F.min("tree").alias("tree")).first()["tree"]
+    kind, found = "query_id long, vec_id long, score long", None
     for p in range(passes):
         block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p)
-        part = scratch.save(index.mapInArrow(_search([(r[0], list(r[1])) for r in block.collect()], k), "query_id long, vec_id long, score long"), f"pass-{p}")
+        queries = [(r[0], list(r[1])) for r in block.collect()]
+        first = scratch.save(index.where(F.col("tree") == F.lit(head)).mapInArrow(_search([(*q, -np.inf) for q in queries], k), kind), f"pass-{p}-first")
+        kth = {r["query_id"]: r["least"] for r in first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
+        rest = index.where(F.col("tree") != F.lit(head)).mapInArrow(_search([(*q, float(kth.get(q[0], -np.inf))) for q in queries], k), kind)
+        part = first.unionByName(scratch.save(rest, f"pass-{p}"))
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
