@@ -1,19 +1,21 @@
 """WARC archives with a two-level capture index (operator 7).
 
 Captures are dealt out in ranges of their reversed-host URL key, so that each
-task writes one archive file and the part of the index that covers it, both in
-key order and both in the shared folder:
+task writes one archive and the part of the index that covers it, all in order
+of key and page id and all in the shared folder:
 
 - the archive: one gzip member for each WARC record, a response or a revisit
   that names the response with the same payload;
 - the index blocks: BLOCK_LINES lines [key, page_id, offset, length] at a
   time, compressed, one after the other in a file;
-- the directory: each block's first key, offset and length, a small table.
-
-A lookup binary-searches the directory for the block, reads that byte range,
-binary-searches its lines and reads the record's byte range of the archive.
-Files go through pyarrow's file systems, so the shared folder can be any that
-pyarrow knows by its URI.
+- the archive's sparse directory: each block's first key and page id, offset and
+  length, in a file.
+
+A lookup binary-searches the archives' heads, their first keys, for the archive,
+its directory for the block and the block's lines for the captures; every search
+comes before a range read. There are MOST_ARCHIVES heads at most, which is what
+lookups send to the tasks. Files go through pyarrow's file systems, so the shared
+folder can be any that pyarrow knows by its URI; s3a and s3n are s3 there.
 """
 
 from __future__ import annotations
@@ -33,14 +35,19 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapweave.llm import wordhash
 from mapweave.llm.scratch import Scratch
 
 BLOCK_LINES = 300
 #: Fixed value: the date of all records; the pages table has none.
 DATE = "2024-01-01T00:00:00Z"
-#: Pages of one archive, about.
-ARCHIVE_PAGES = 20_000
-DIRECTORY = "archive string, blocks string, first_key string, at long, size long, lines int"
+#: Pages of one archive, about, as long as there are no more than MOST_ARCHIVES; beyond, archives grow.
+ARCHIVE_PAGES, MOST_ARCHIVES = 20_000, 50_000
+#: Bytes of pages handled at once, and of records that one range read fetches at most, but for a longer record.
+CHUNK, READ_BYTES = 1 << 22, 1 << 22
+#: One row an archive: its name, and the key and page id that it begins with.
+HEADS = "name string, first_key string, first_id long"
+CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 #: Fixed value: scheme, user, host, port, path and query of a lower-cased URL.
@@ -101,55 +108,61 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def _files(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri) if "://" in uri else f"file://{uri}")
+
+
+def place(key: str, page_id: int | None) -> tuple:
+    """What captures are ordered by: the URL key, then the page id, none first."""
+    return key, page_id is not None, page_id or 0
 
 
 def _write(folder: str):
-    """Archives and index blocks of the sorted rows of a task; rows of the directory come out.
+    """Archives, index blocks and directories of the sorted rows of a task; a row of HEADS comes out.
 
     A task that is run again writes files of new names, and only the names in
-    the directory are read.
+    the heads are read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _files(folder)
-        name, archive, blocks, at, lines, out = "", None, None, 0, [], []
+        name, files, at, lines, directory = "", [], 0, [], []
 
         def flush() -> None:
             if lines:
                 packed = zlib.compress("\n".join(lines).encode(), 6)
-                out.append((f"{name}.warc.gz", f"{name}.idx", json.loads(lines[0])[0], blocks.tell(), len(packed), len(lines)))
-                blocks.write(packed)
+                directory.append(json.dumps([*json.loads(lines[0])[:2], files[1].tell(), len(packed)]))
+                files[1].write(packed)
                 lines.clear()
 
         first: tuple | None = None
-        for row in (r for batch in batches for r in batch.to_pylist()):
+        for row in (r for part in wordhash.chunks(batches, CHUNK, "html") for r in part.to_pylist()):
             if row["first_id"] is not None:  # goes before the pages that it is about
                 first = (row["key"], row["page_id"], row["hex"], row["first_id"], row["first_url"])
                 continue
-            if archive is None:
+            if not files:
                 name = f"part-{uuid.uuid4().hex}"
                 store.create_dir(base, recursive=True)
-                archive, blocks = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None), store.open_output_stream(f"{base}/{name}.idx", compression=None)
+                files = [store.open_output_stream(f"{base}/{name}{end}", compression=None) for end in (".warc.gz", ".idx", ".dir")]
             refers = first[3:] if first and first[:3] == (row["key"], row["page_id"], row["hex"]) else None
             member = record(row["page_id"], row["url"], (row["html"] or "").encode(), base64.b32encode(bytes.fromhex(row["hex"])).decode(), refers)
             lines.append(json.dumps([row["key"], row["page_id"], at, len(member)]))
-            archive.write(member)
+            files[0].write(member)
             at += len(member)
             if len(lines) == BLOCK_LINES:
                 flush()
-        if archive is not None:
+        if files:
             flush()
-            archive.close()
-            blocks.close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["archive", "blocks", "first_key", "at", "size", "lines"])
+            files[2].write("\n".join(directory).encode())
+            for file in files:
+                file.close()
+            key, page_id = json.loads(directory[0])[:2]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([key], pa.string()), pa.array([page_id], pa.int64())], names=["name", "first_key", "first_id"])
 
-    return rows
+    return wordhash.tidy(rows)
 
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
-    """Writes `pages` (page_id, url, html) as archives in `folder`; returns the index directory, saved.
+    """Writes `pages` (page_id, url, html) as archives in `folder`; returns their heads, saved.
 
     Of equal payloads of at least `least_bytes`, the one with the smallest
     page_id is a response and the others revisit it. The payloads are shuffled
@@ -166,69 +179,113 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least_bytes:
     again = scratch.save(again.select("key", "page_id", "hex", F.lit(0).alias("part"), "first_id", "first_url", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")), "again")
     full = pages.select(surt_column(F.col("url")).alias("key"), "page_id", F.sha1(text.cast("binary")).alias("hex"), F.lit(1).alias("part"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"), "url", "html")
     order = ["key", "page_id", "hex"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // ARCHIVE_PAGES + 1)
-    rows = full.unionByName(again).repartitionByRange(parts, *order).sortWithinPartitions(*order, "part")
-    return scratch.save(rows.mapInArrow(_write(folder), DIRECTORY), "directory")
-
-
-def _range(store: fs.FileSystem, path: str, at: int, size: int) -> bytes:
-    with store.open_input_file(path) as file:
-        return file.read_at(size, at)
-
+    rows = full.unionByName(again).repartitionByRange(_parts(spark, pages.count()), *order).sortWithinPartitions(*order, "part")
+    return scratch.save(rows.mapInArrow(_write(folder), HEADS), "heads")
+
+
+def _parts(spark: SparkSession, n: int) -> int:
+    return min(MOST_ARCHIVES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ARCHIVE_PAGES + 1))
+
+
+class Index:
+    """The archives in `folder`, by their heads: rows of HEADS in order of place()."""
+
+    def __init__(self, heads: list, folder: str):
+        self.store, self.base = _files(folder)
+        self.heads = sorted((place(h["first_key"], h["first_id"]), h["name"]) for h in heads)
+        self._held: dict[tuple, list] = {}
+
+    def _range(self, name: str, at: int = 0, size: int | None = None) -> bytes:
+        with self.store.open_input_file(f"{self.base}/{name}") as file:
+            return file.read_at(file.size() if size is None else size, at)
+
+    def _once(self, key: tuple, read) -> list:
+        """What was read last for a file or block; lookups come in order, so few are needed again."""
+        if key not in self._held:
+            if len(self._held) > 3:
+                self._held.clear()
+            self._held[key] = read()
+        return self._held[key]
+
+    def directory(self, name: str) -> list:
+        """[place, offset, length] of each block of an archive."""
+        return self._once((name,), lambda: [(place(*x[:2]), *x[2:]) for x in map(json.loads, self._range(f"{name}.dir").decode().split("\n"))])
+
+    def block(self, name: str, at: int, size: int) -> list:
+        """[place, page id, offset, length] of each capture of a block."""
+        return self._once((name, at), lambda: [(place(*x[:2]), *x[1:]) for x in map(json.loads, zlib.decompress(self._range(f"{name}.idx", at, size)).decode().split("\n"))])
+
+    @staticmethod
+    def _among(entries: list, low: tuple, high: tuple, before: int) -> list:
+        """Entries whose place is from low to high, and `before` ones before them, by binary search."""
+        start, stop = bisect.bisect_left(entries, low, key=lambda e: e[0]), bisect.bisect_right(entries, high, key=lambda e: e[0])
+        return entries[max(0, start - before) : stop]
+
+    def captures(self, low: tuple, high: tuple) -> Iterator[tuple[str, int, int]]:
+        """Archive, offset and length of every capture whose place is from low to high."""
+        for _, name in self._among(self.heads, low, high, 1):
+            for _, at, size in self._among(self.directory(name), low, high, 1):
+                for _, _, start, length in self._among(self.block(name, at, size), low, high, 0):
+                    yield name, start, length
+
+    def read(self, found: list[tuple[str, int, int]]) -> Iterator[bytes]:
+        """The records of captures, those that follow each other in an archive by one range read of READ_BYTES at most."""
+        at = 0
+        while at < len(found):
+            name, start, length = found[at]
+            stop, end = at + 1, start + length
+            while stop < len(found) and found[stop][:2] == (name, end) and end + found[stop][2] - start <= READ_BYTES:
+                end += found[stop][2]
+                stop += 1
+            data = self._range(f"{name}.warc.gz", start, end - start)
+            for _, s, n in found[at:stop]:
+                yield data[s - start : s - start + n]
+            at = stop
+
+
+def find(heads: list, folder: str, url: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
+    """All captures of a URL, parsed. `heads`: the rows of write_archives()."""
+    index, key = Index(heads, folder), surt(url)
+    return [parse(r) for r in index.read(list(index.captures((key,), (key, True, 1 << 63))))]
+
+
+def _read(heads: list, folder: str):
+    """CAPTURES of all records of the sorted (key, page_id) of a task."""
 
-def block_lines(store: fs.FileSystem, base: str, blocks: str, at: int, size: int) -> list[list]:
-    """[key, page_id, offset, length] of each capture of an index block."""
-    return [json.loads(x) for x in zlib.decompress(_range(store, f"{base}/{blocks}", at, size)).decode().split("\n")]
-
-
-def find(directory: list, folder: str, url: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
-    """All captures of a URL, parsed. `directory`: rows of the directory by first_key.
-
-    Two binary searches come before each range read: in the directory for the
-    blocks that can hold the key, and in a block's lines for the captures.
-    """
-    store, base = _files(folder)
-    key, out = surt(url), []
-    keys = [r["first_key"] for r in directory]
-    for row in directory[max(0, bisect.bisect_left(keys, key) - 1) : bisect.bisect_right(keys, key)]:
-        lines = block_lines(store, base, row["blocks"], row["at"], row["size"])
-        held = [x[0] for x in lines]
-        for line in lines[bisect.bisect_left(held, key) : bisect.bisect_right(held, key)]:
-            out.append(parse(_range(store, f"{base}/{row['archive']}", line[2], line[3])))
-    return out
-
-
-def _read(folder: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _files(folder)
-        for row in (r for batch in batches for r in batch.to_pylist()):
-            lines, out = block_lines(store, base, row["blocks"], row["at"], row["size"]), []
-            start = lines[0][2]
-            data = _range(store, f"{base}/{row['archive']}", start, lines[-1][2] + lines[-1][3] - start)
-            for _, _, at, size in lines:
-                fields, http, payload = parse(data[at - start : at - start + size])
+        index = Index(heads, folder)
+        for part in wordhash.chunks(batches, CHUNK >> 4, "key"):
+            wanted = zip(part.column("key").to_pylist(), part.column("page_id").to_pylist(), strict=True)
+            found, out = [c for at in (place(*w) for w in wanted) for c in index.captures(at, at)], []
+            for (name, at, _), member in zip(found, index.read(found), strict=True):
+                fields, http, payload = parse(member)
                 sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind, n = fields["WARC-Type"], int(http["Content-Length"])
                 if kind == "response" and (n != len(payload) or digest(payload) != sha):
-                    raise ValueError(f"{row['archive']} at {at}: the payload isn't what its header says")
-                whole = lambda name, fields=fields: int(fields[name]) if name in fields else None
+                    raise ValueError(f"{name} at {at}: the payload isn't what its header says")
+                whole = lambda field, fields=fields: int(fields[field]) if field in fields else None
                 out.append((whole("X-Page-ID"), n, sha, kind, whole("X-Refers-To-Page-ID")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return rows
+    return wordhash.tidy(rows)
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture, block by block through the index.
+def look_up(heads: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture of the (url, page_id) in `wanted`.
 
-    Payloads are checked against their digests.
+    Each is looked up in the index, in order of keys, so that a task reads a
+    block once. Payloads are checked against their digests. Repeated wanted rows
+    count once; what has no capture gives no row.
     """
-    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return directory.repartition(n).mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    spark: SparkSession = heads.sparkSession
+    keys = wanted.select(surt_column(F.col("url")).alias("key"), "page_id").distinct()
+    ranged = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "page_id").sortWithinPartitions("key", "page_id")
+    return ranged.mapInArrow(_read([h.asDict() for h in heads.collect()], folder), CAPTURES)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """read_archives() of what write_archives() wrote of `pages` (page_id, url, html), in the shared folder.
+    """look_up() of all `pages` (page_id, url, html) in what write_archives() wrote of them, in the shared folder.
 
     Null html is an empty payload, a null url an empty key. A page without id
     is a response and is referred to by none; rows that repeat an id and a
@@ -237,4 +294,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.path("archives")
-    return read_archives(write_archives(pages.select("page_id", "url", "html"), folder, scratch), folder)
+    pages = pages.select("page_id", "url", "html")
+    return look_up(write_archives(pages, folder, scratch), folder, pages)
