@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from mapweave.llm import wordhash
 
@@ -31,7 +32,12 @@ AMBIGUOUS = 0.10
 
 
 def codewords(n: int) -> np.ndarray:
-    """n distinct codewords of +-1: the exhaustive code up to 7 languages, else random dense bits."""
+    """n codewords of +-1, far apart: the exhaustive code up to 7 languages, else random rows.
+
+    With b bits, two words of the exhaustive code differ in (b + 1) / 2 of them,
+    and of the random one in b / 4 at least, so that (b / 4 - 1) / 2 wrong bits
+    do no harm.
+    """
     if n < 2:
         return np.ones((n, 0))
     if n <= 7:
@@ -40,9 +46,13 @@ def codewords(n: int) -> np.ndarray:
         return np.vstack([np.ones(len(columns)), *(np.where(columns >> k & 1, -1.0, 1.0) for k in range(n - 1))])
     rng, bits = np.random.default_rng(5), int(np.ceil(10 * np.log2(n)))
     while True:
-        m = rng.choice([-1.0, 1.0], (n, bits))
-        m = m[:, np.abs(m.sum(axis=0)) < n]
-        if len(np.unique(m, axis=0)) == n:
+        words: list[np.ndarray] = []
+        while len(words) < n:
+            word = rng.choice([-1.0, 1.0], bits)
+            if all((word != w).sum() >= bits // 4 for w in words):
+                words.append(word)
+        m = np.array(words)
+        if (np.abs(m.sum(axis=0)) < n).all():  # every bit parts the languages
             return m
 
 
@@ -83,14 +93,14 @@ class Model:
         self.code = codewords(len(self.langs))
         n = np.array([counts[x] for x in self.langs]).reshape(len(self.langs), BUCKETS)
         share = (n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
-        self.weights = np.zeros((BUCKETS + 1, self.code.shape[1]), np.float32)
+        self.weights = np.zeros((self.code.shape[1], BUCKETS + 1), np.float32)
         for b in range(self.code.shape[1]):
             yes = self.code[:, b] > 0
-            self.weights[:BUCKETS, b] = np.log(share[yes].mean(axis=0)) - np.log(share[~yes].mean(axis=0))
+            self.weights[b, :BUCKETS] = np.log(share[yes].mean(axis=0)) - np.log(share[~yes].mean(axis=0))
         self.bits = np.full(self.code.shape, 1 / max(1, self.code.shape[1]))
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Mean log-odds of each text for each bit; 0 for an empty text."""
+        """Mean log-odds of each text for each bit; 0 for an empty text. One bit at a time, so memory doesn't grow with the languages."""
         out = np.zeros((len(at) - 1, self.code.shape[1]))
         size = np.diff(at)
         some = np.flatnonzero(size)
@@ -98,7 +108,8 @@ class Model:
             return out
         low = wordhash.LOWER[data]
         for bucket in gram_buckets(low, at):
-            out[some] += np.add.reduceat(self.weights[bucket], at[some], axis=0)
+            for b, weights in enumerate(self.weights):
+                out[some, b] += np.add.reduceat(weights[bucket], at[some], dtype=np.float64)
         out[some] /= GRAMS * size[some, None]
         return out
 
@@ -144,7 +155,7 @@ def train(docs: DataFrame) -> Model:
     hits on WEIGHT_ROWS rows: both don't grow with the input.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    counts = rows.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(wordhash.tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     held: dict[str, np.ndarray] = {}
     for lang, bucket, n in counts.collect():
         held.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
@@ -152,7 +163,7 @@ def train(docs: DataFrame) -> Model:
     if model.code.shape[1]:
         share = min(1.0, WEIGHT_ROWS / max(1, rows.select("lang").count()))
         sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.octet_length("text") > 0)
-        hits = sample.where(F.col("lang").isin(model.langs)).mapInArrow(_bit_hits(model), "lang string, hits array<int>")
+        hits = sample.where(F.col("lang").isin(model.langs)).mapInArrow(wordhash.tidy(_bit_hits(model)), "lang string, hits array<int>")
         per = hits.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(F.get("hits", F.lit(b))).alias(f"b{b}") for b in range(model.code.shape[1]))).collect()
         found, n = np.zeros(model.code.shape), np.zeros(len(model.langs))
         for row in per:
@@ -162,25 +173,39 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row of `docs` (doc_id, text), and the column `carry` if given.
+def _found(texts: pa.Array, model: Model) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """lang_pred, score and ambiguous of each text."""
+    data, at = wordhash.utf8(texts)
+    known = has_letter(data, at) & bool(model.langs)
+    pred, score, unsure = np.full(len(known), "und", object), np.zeros(len(known)), np.zeros(len(known), bool)
+    if known.any():
+        k, share, flag = model.decode(model.margins(data, at))
+        pred[known], score[known], unsure[known] = np.array(model.langs, object)[k][known], share[known], flag[known]
+    return pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous for each row of `docs` (doc_id, text); other columns are not read.
 
     Texts that are null or have no letter, and all texts if no language was
-    learned, get 'und' and score 0. Repeated rows each give a row.
+    learned, get 'und' and score 0. Of codewords that are equally near, the
+    first in the order of the languages' names wins, and the text is ambiguous.
+    Repeated rows each give a row; an empty table gives an empty one.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches):
-            data, at = wordhash.utf8(batch.column("text"))
-            known = has_letter(data, at) & bool(model.langs)
-            pred, score, unsure = np.full(len(known), "und", object), np.zeros(len(known)), np.zeros(len(known), bool)
-            if known.any():
-                k, share, flag = model.decode(model.margins(data, at))
-                pred[known], score[known], unsure[known] = np.array(model.langs, object)[k][known], share[known], flag[known]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure), *(batch.column(c) for c in more)], names=["doc_id", "lang_pred", "score", "ambiguous", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_found(batch.column("text"), model)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return docs.select("doc_id", "text").mapInArrow(wordhash.tidy(rows), "doc_id long, lang_pred string, score double, ambiguous boolean")
+
 
-    more = [carry] if carry else []
-    schema = T.StructType([T.StructField(n, t()) for n, t in (("doc_id", T.LongType), ("lang_pred", T.StringType), ("score", T.DoubleType), ("ambiguous", T.BooleanType))] + [docs.schema[c] for c in more])
-    return docs.select("doc_id", "text", *more).mapInArrow(rows, schema)
+def language(text: Column, model: Model) -> Column:
+    """identify()'s lang_pred as a column: only the text goes to Python, and the rest of its row stays behind."""
 
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = wordhash.chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+            yield pa.concat_arrays([pa.array([], pa.string()), *(_found(part.column(0), model)[0] for part in parts)])
 
+    return F.arrow_udf(wordhash.tidy(column), T.StringType(), ArrowUDFType.SCALAR_ITER)(text)
