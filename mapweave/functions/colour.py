@@ -54,11 +54,23 @@ def stops_literal(v: Column, low: Column, high: Column, stops: Sequence[Stop], n
     return out
 
 
-def stops_column(v: Column, low: Column, high: Column, stops: Column, norm: Column | None = None) -> list[Column]:
-    """Colour stops in an array column, for styles that only the data know."""
-    scaled = rescale(normalise(v, low, high) if norm is None else norm, F.element_at(stops, 1)["value"], F.element_at(stops, -1)["value"])
-    pairs = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hit = F.get(F.filter(pairs, lambda p: (scaled >= p["a"]["value"]) & (scaled <= p["b"]["value"])), F.lit(0))
+def stop_pairs(stops: Column) -> Column:
+    """Neighbouring stops (a, b) in file order. A column of a layer: pixels need not make it again."""
+    return F.zip_with(F.slice(stops, 1, F.greatest(F.size(stops) - 1, F.lit(0))), F.slice(stops, 2, F.size(stops)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def stop_interval(norm: Column, pairs: Column) -> Column:
+    """The first of stop_pairs() that holds the rescaled value; null if there is none."""
+    scaled = rescale(norm, F.get(pairs, F.lit(0))["a"]["value"], F.get(pairs, F.size(pairs) - 1)["b"]["value"])
+    return F.when(F.size(pairs) > 0, F.get(F.filter(pairs, lambda p: (scaled >= p["a"]["value"]) & (scaled <= p["b"]["value"])), F.lit(0)))
+
+
+def stops_column(v: Column, low: Column, high: Column, stops: Column, norm: Column | None = None, pairs: Column | None = None, hit: Column | None = None) -> list[Column]:
+    """Colour stops in an array column, for styles that only the data know. `pairs` and `hit` are stop_pairs() and stop_interval() where columns hold them."""
+    norm = normalise(v, low, high) if norm is None else norm
+    pairs = stop_pairs(stops) if pairs is None else pairs
+    hit = stop_interval(norm, pairs) if hit is None else hit
+    scaled = rescale(norm, F.get(pairs, F.lit(0))["a"]["value"], F.get(pairs, F.size(pairs) - 1)["b"]["value"])
     return [F.when(v.isNull() | hit.isNull(), 0).otherwise(_between(scaled, f32(hit["a"][c]), f32(hit["b"][c]), hit["a"]["value"], hit["b"]["value"])) for c in STOP_FIELDS]
 
 
@@ -68,10 +80,10 @@ def palette(name: str, v: Column, low: Column, high: Column, norm: Column | None
     return [F.when(v.isNull(), 0).otherwise(c) for c in gradient(name, t)]
 
 
-def colourise(style: Column, v: Column, low: Column, high: Column, stops: Column, palettes: Sequence[str] = NAMES, norm: Column | None = None) -> list[Column]:
+def colourise(style: Column, v: Column, low: Column, high: Column, stops: Column, palettes: Sequence[str] = NAMES, norm: Column | None = None, pairs: Column | None = None, hit: Column | None = None) -> list[Column]:
     """By a built-in palette of the style's name, else gray without stops, else by the stops."""
     by_name = [(n, palette(n, v, low, high, norm)) for n in palettes]
-    gray, ramp = grayscale(v, low, high, norm), stops_column(v, low, high, stops, norm)
+    gray, ramp = grayscale(v, low, high, norm), stops_column(v, low, high, stops, norm, pairs, hit)
     out = []
     for k in range(4):
         case = F.when(F.size(stops) <= 0, gray[k]).otherwise(ramp[k])
@@ -81,6 +93,11 @@ def colourise(style: Column, v: Column, low: Column, high: Column, stops: Column
     return out
 
 
+def colour_bar_palette(name: str, n: int = 10) -> Column:
+    """n colours (r, g, b) of a palette from its first to its last."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*(c.alias(k) for c, k in zip(gradient(name, i.cast("double") / F.lit(float(n - 1)))[:3], CHANNELS, strict=False))))
+
+
 def colour_bar_gray(n: int = 10) -> Column:
     """n gray levels from black to white."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(f32(255) * i.cast("float") / f32(n - 1) + F.lit(0.5)).cast("int"))

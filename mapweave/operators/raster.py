@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from mapweave.functions.mercator import TILE, tile_bounds, to_crs
 
 #: Metres by which a pixel corner may miss the source's edge: closed forms end one rounding short of the tile scheme's constant.
 EDGE = 1e-6
+#: Gives the pixels in the rectangles of spans().
+PixelSource = Callable[[DataFrame], DataFrame]
 
 
 def present(v: Column, nodata: Column) -> Column:
@@ -59,7 +63,7 @@ def tile_grid(requests: DataFrame, size: int = TILE) -> DataFrame:
 def source_place(grid: DataFrame, utm: bool = False) -> DataFrame:
     """Adds src_col and src_row, the source pixel under each tile pixel's centre. Needs crs_code, origin_x, origin_y, px_w, px_h."""
     sx, sy = to_crs(F.lit(3857), F.col("crs_code"), F.col("cx"), F.col("cy"), clamp=False, utm=utm)
-    return grid.withColumns({"src_col": F.floor((sx - F.col("origin_x")) / F.col("px_w")).cast("int"), "src_row": F.floor((sy - F.col("origin_y")) / F.col("px_h")).cast("int")})
+    return grid.withColumns({"src_col": F.floor((sx - F.col("origin_x")) / F.col("px_w")).try_cast("int"), "src_row": F.floor((sy - F.col("origin_y")) / F.col("px_h")).try_cast("int")})
 
 
 def outside(gx: Column, gy: Column, box: Column, crs: Column, utm: bool = False) -> Column:
@@ -69,20 +73,52 @@ def outside(gx: Column, gy: Column, box: Column, crs: Column, utm: bool = False)
     return (gx < F.least(x0, x1) - edge) | (gx > F.greatest(x0, x1) + edge) | (gy < F.least(y0, y1) - edge) | (gy > F.greatest(y0, y1) + edge)
 
 
-def reach(grid: DataFrame, most: int = 500) -> Column | None:
-    """A predicate on pixels that source_place() rows can reach, a rectangle for each layer; None for over `most` layers.
+SPAN = ("r0", "r1", "c0", "c1")
+#: Layers whose rectangles become literals of a predicate; those of more are joined.
+LITERAL_SPANS = 500
+
 
-    It is made of literals, so it reaches the scan of the pixels and skips row
-    groups there.
+def spans(asked: DataFrame, size: int = TILE, utm: bool = False) -> DataFrame:
+    """layer, r0, r1, c0, c1: the rectangle of source pixels that all requested tiles of a layer reach.
+
+    Longitudes and Mercator's x, and latitudes and its y, rise together, so the
+    centres of two corner pixels say it; UTM zones are turned against them, and
+    need every pixel.
+    """
+    if utm:
+        placed = source_place(tile_grid(asked, size), True).select("layer", *(F.col(f"src_{k}").alias(f"{k}{i}") for k in ("row", "col") for i in (0, 1)))
+    else:
+        bounds = tile_bounds(F.col("z"), F.col("x"), F.col("y"))
+        half = [(bounds["maxx"] - bounds["minx"]) / (2 * size), (bounds["maxy"] - bounds["miny"]) / (2 * size)]
+        corners = asked.select("*", *(c.alias(f"edge_{k}") for k, c in {"x0": bounds["minx"] + half[0], "x1": bounds["maxx"] - half[0], "y0": bounds["miny"] + half[1], "y1": bounds["maxy"] - half[1]}.items()))
+        out = []
+        for i in (0, 1):
+            sx, sy = to_crs(F.lit(3857), F.col("crs_code"), F.col(f"edge_x{i}"), F.col(f"edge_y{i}"), clamp=False)
+            place = {"row": (sy - F.col("origin_y")) / F.col("px_h"), "col": (sx - F.col("origin_x")) / F.col("px_w")}
+            out += [F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0**31 - 1), c))).cast("int").alias(f"{k}{i}") for k, c in place.items()]
+        placed = corners.select("layer", *out)
+    ends = [f(g(f"{k}0", f"{k}1")).alias(n) for n, (f, g), k in zip(SPAN, ((F.min, F.least), (F.max, F.greatest)) * 2, ("row", "row", "col", "col"), strict=True)]
+    return placed.groupBy("layer").agg(*ends)
+
+
+def reachable(pixels: DataFrame | PixelSource, near: DataFrame) -> DataFrame:
+    """The pixels in the rectangles of spans().
+
+    A source of files is asked for them and reads no other blocks. Of a table,
+    rectangles of LITERAL_SPANS layers at most become literals, which reach the
+    scan and skip row groups there; those of more are joined on the layer.
     """
-    spans = grid.groupBy("layer").agg(F.min("src_row").alias("r0"), F.max("src_row").alias("r1"), F.min("src_col").alias("c0"), F.max("src_col").alias("c1")).limit(most + 1).collect()
-    if len(spans) > most:
-        return None
+    if callable(pixels):
+        return pixels(near)
+    rows = near.limit(LITERAL_SPANS + 1).collect()
+    if len(rows) > LITERAL_SPANS:
+        inside = F.col("row_").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+        return pixels.join(near, "layer").where(inside).select(pixels.columns)
     out = F.lit(False)
-    for s in spans:
+    for s in rows:
         if s["r0"] is not None and s["c0"] is not None:
             out = out | ((F.col("layer") == s["layer"]) & F.col("row_").between(s["r0"], s["r1"]) & F.col("col").between(s["c0"], s["c1"]))
-    return out
+    return pixels.where(out)
 
 
 def warp_nearest(grid: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -91,9 +127,7 @@ def warp_nearest(grid: DataFrame, pixels: DataFrame) -> DataFrame:
     The join is on layer, row and column together, so a large layer spreads
     over all tasks.
     """
-    near = reach(grid)
-    source = pixels if near is None else pixels.where(near)
-    return grid.join(source.select("layer", F.col("row_").alias("src_row"), F.col("col").alias("src_col"), "v"), ["layer", "src_row", "src_col"], "left")
+    return grid.join(pixels.select("layer", F.col("row_").alias("src_row"), F.col("col").alias("src_col"), "v"), ["layer", "src_row", "src_col"], "left")
 
 
 def to_blocks(pixels: DataFrame, size: int = 256) -> DataFrame:

@@ -17,29 +17,39 @@ from mapweave.operators.catalog import first_per_name
 KEY = ("layer", "z", "x", "y")
 
 
-def tile_values(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: int = TILE) -> DataFrame:
-    """Every pixel of the requested tiles with its masked value v, its place norm in the layer's range, and its layer's columns.
+def tile_values(requests: DataFrame, layers: DataFrame, pixels: DataFrame | raster.PixelSource, size: int = TILE) -> DataFrame:
+    """Every pixel of the requested tiles with its masked value v, its place norm in the layer's range, its stop interval hit, and its layer's columns.
 
     `requests` has layer, z, x, y. Requests of unknown layers give no rows; of
     layers with one name the first by path serves. A tile off the raster, or
-    out of the scheme, has null values throughout.
+    out of the scheme, has null values throughout. Requests are dealt out one by
+    one before they become pixels, so a layer that many ask for fills no task.
     """
-    known = first_per_name(layers).select("layer", "style", "crs_code", "extent", "colour_stops", "min_value", "max_value", "origin_x", "origin_y", "px_w", "px_h", "nodata")
-    asked = requests.select(*KEY).join(known, "layer")
-    utm = not asked.where(is_utm(F.col("crs_code"))).isEmpty()
+    columns = ("layer", "style", "crs_code", "extent", "colour_stops", "min_value", "max_value", "origin_x", "origin_y", "px_w", "px_h", "nodata")
+    known = first_per_name(layers).select(*columns, colour.stop_pairs(F.col("colour_stops")).alias("stop_pairs"))
+    utm = not layers.where(is_utm(F.col("crs_code"))).isEmpty()
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = requests.select(*KEY).join(known, "layer").repartition(parts, *KEY)
     grid = raster.source_place(raster.tile_grid(asked, size), utm)
-    warped = raster.warp_nearest(grid, pixels)
+    place = ("layer", "z", "x", "y", "crs_code", "origin_x", "origin_y", "px_w", "px_h")
+    warped = raster.warp_nearest(grid, raster.reachable(pixels, raster.spans(asked.select(*place), size, utm)))
     hidden = raster.outside(F.col("gx"), F.col("gy"), F.col("extent"), F.col("crs_code"), utm)
     masked = warped.withColumn("v", F.when(~hidden, raster.visible(F.col("v"), F.col("nodata"))))
-    # A column of its own: the colour expressions use it many times, and a copy in each would outgrow generated code.
-    return masked.withColumn("norm", colour.normalise(F.col("v"), F.col("min_value"), F.col("max_value")))
+    # Columns of their own: the colour expressions use them many times, and a copy in each would outgrow generated code.
+    placed = masked.withColumn("norm", colour.normalise(F.col("v"), F.col("min_value"), F.col("max_value")))
+    return placed.withColumn("hit", colour.stop_interval(F.col("norm"), F.col("stop_pairs")))
+
+
+def by_style(values: DataFrame, palettes: Sequence[str]) -> list[Column]:
+    """Red, green, blue and alpha of tile_values() by each layer's style."""
+    return colour.colourise(*map(F.col, ("style", "v", "min_value", "max_value", "colour_stops")), palettes, *map(F.col, ("norm", "stop_pairs", "hit")))
 
 
 def coloured(values: DataFrame, channels: Sequence[Column]) -> DataFrame:
     return values.select(*KEY, "px", "py", *(c.alias(n) for c, n in zip(channels, colour.CHANNELS, strict=True)))
 
 
-def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: int = TILE, palettes: Sequence[str] | None = None) -> DataFrame:
+def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame | raster.PixelSource, size: int = TILE, palettes: Sequence[str] | None = None) -> DataFrame:
     """layer, z, x, y, px, py, r, g, b, a.
 
     `palettes` are the built-in ones that the layers can name; by default those
@@ -48,7 +58,7 @@ def tile_rgba(requests: DataFrame, layers: DataFrame, pixels: DataFrame, size: i
     if palettes is None:
         palettes = [r["style"] for r in layers.select("style").where(is_palette(F.col("style"))).distinct().collect()]
     values = tile_values(requests, layers, pixels, size)
-    return coloured(values, colour.colourise(F.col("style"), F.col("v"), F.col("min_value"), F.col("max_value"), F.col("colour_stops"), palettes, F.col("norm")))
+    return coloured(values, by_style(values, palettes))
 
 
 def tile_png(rgba: DataFrame, size: int = TILE) -> DataFrame:

@@ -29,12 +29,11 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 
 def _layer(spark: SparkSession, d: str, style: str, stops: Sequence[colour.Stop] = ()) -> DataFrame:
     """The derived raster's catalogue row, with its statistics."""
-    pixels = _pixels(spark, d)
-    height = pixels.groupBy("layer").agg((F.max("row_") + 1).alias("height"))
-    stats = raster.band_stats(pixels.withColumn("v", F.nullif("v", F.lit(NODATA).cast("float"))))
+    value = raster.present(F.col("v"), F.lit(NODATA).cast("float"))
+    stats = _pixels(spark, d).groupBy("layer").agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), (F.max("row_") + 1).alias("height"))
     box = geometry.extent_of_grid(F.lit(10000.0), F.lit(140000.0), F.lit(1000.0), F.lit(-1000.0), F.lit(128), F.col("height"))
     constants = {"style": style, "path": f"/{style}/{NAME}.tif", "crs_code": 3857, "origin_x": 10000.0, "origin_y": 140000.0, "px_w": 1000.0, "px_h": -1000.0}
-    row = stats.join(height, "layer").select("*", *(F.lit(v).alias(k) for k, v in constants.items()), F.lit(NODATA).cast("float").alias("nodata"), box.alias("extent"))
+    row = stats.select("*", *(F.lit(v).alias(k) for k, v in constants.items()), F.lit(NODATA).cast("float").alias("nodata"), box.alias("extent"))
     return row.withColumn("colour_stops", _stops(stops) if stops else F.array().cast(f"array<{STOP}>"))
 
 
@@ -47,7 +46,7 @@ def _tile(style: str, channels: Callable | None, stops: Sequence[colour.Stop] =
         values = tiles.tile_values(_request(spark, *keys), _layer(spark, d, style, stops), _pixels(spark, d))
         v = [F.col(c) for c in ("v", "min_value", "max_value")]
         norm = F.col("norm")
-        found = channels(*v, norm=norm) if channels else colour.colourise(F.col("style"), *v, F.col("colour_stops"), (), norm)
+        found = channels(*v, norm=norm) if channels else tiles.by_style(values, ())
         out = tiles.coloured(values, found)
         return out.select("px", "py", *colour.CHANNELS) if len(keys) == 1 else out.drop("layer")
 
@@ -125,8 +124,9 @@ def extent_mask(spark: SparkSession, d: str) -> DataFrame:
 
 def warp_nearest(spark: SparkSession, d: str) -> DataFrame:
     layer = _layer(spark, d, "grayscale").select("layer", "crs_code", "origin_x", "origin_y", "px_w", "px_h")
-    grid = raster.source_place(raster.tile_grid(_request(spark, TILE).join(layer, "layer")))
-    return raster.warp_nearest(grid, _pixels(spark, d)).select("px", "py", "src_row", "src_col", F.when(~F.isnan("v"), F.col("v")).alias("v"))
+    asked = _request(spark, TILE).join(layer, "layer")
+    grid = raster.source_place(raster.tile_grid(asked))
+    return raster.warp_nearest(grid, raster.reachable(_pixels(spark, d), raster.spans(asked))).select("px", "py", "src_row", "src_col", F.when(~F.isnan("v"), F.col("v")).alias("v"))
 
 
 BATCH = ((8, 128, 127), (9, 256, 254), (9, 257, 255), (10, 513, 508), (3, 0, 0))

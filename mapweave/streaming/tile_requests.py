@@ -7,9 +7,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mapweave.functions.mercator import TILE
 from mapweave.operators import tiles
+from mapweave.operators.raster import PixelSource
 
 
-def render_stream(requests: DataFrame, layers: DataFrame, pixels: DataFrame, out: str, checkpoint: str, size: int = TILE) -> StreamingQuery:
+def render_stream(requests: DataFrame, layers: DataFrame, pixels: DataFrame | PixelSource, out: str, checkpoint: str, size: int = TILE) -> StreamingQuery:
     """Writes the tiles of a streaming frame (layer, z, x, y) as Parquet, a folder for each micro-batch.
 
     A batch that is run again overwrites its own folder, so that every request
