@@ -8,7 +8,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """data_folder has one folder for each style; tiles are square by default."""
+    """data_folder, a path or URI, has one folder for each style.
+
+    default_style is the style of files in no named folder, band the one that is
+    drawn, from 1. Tiles are square.
+    """
 
     data_folder: str | None = "data"
     default_style: str = "default"
@@ -17,6 +21,12 @@ class Config:
     band: int = 1
     port: int = 8000
 
+    def __post_init__(self) -> None:
+        if self.tile_size_x != self.tile_size_y or self.tile_size_x < 1:
+            raise ValueError("tiles are square")
+        if self.band < 1:
+            raise ValueError("bands are counted from 1")
+
     def root(self) -> str:
         """The absolute data folder; ValueError without one."""
         if not self.data_folder:

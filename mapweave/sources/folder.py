@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+import logging
 import os
 import time
 
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 from mapweave.functions.mercator import is_utm, supported
 from mapweave.functions.paths import EXTENSIONS
 from mapweave.operators import catalog, geometry
+from mapweave.operators.raster import PixelSource
 from mapweave.schema import CACHE, LAYERS, STOP
 from mapweave.sources import geotiff
+from mapweave.sources.files import local, read_all
 from mapweave.sources.stylefile import parse_styles, with_stops
 
 CACHE_FILE = ".metadata_cache.csv"
+log = logging.getLogger(__name__)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -48,21 +53,23 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"string": str, "bigint": int, "int": int, "float": float, "double": float, "boolean": {"true": True, "false": False}.__getitem__}
     rows = []
     try:
-        with open(path, newline="") as file:
-            for row in csv.DictReader(file):
-                try:
-                    rows.append(tuple(kinds[f.dataType.simpleString()](row[f.name]) for f in CACHE.fields))
-                except (KeyError, ValueError, TypeError):
-                    continue
+        for row in csv.DictReader(io.StringIO(read_all(path).decode("utf-8", "replace"), newline="")):
+            try:
+                rows.append(tuple(kinds[f.dataType.simpleString()](row[f.name]) for f in CACHE.fields))
+            except (KeyError, ValueError, TypeError):
+                continue
     except OSError:
         pass
     return spark.createDataFrame(rows, CACHE)
 
 
 def save_cache(records: DataFrame, path: str) -> None:
-    """Writes the records, one a layer file, over the old ones. Errors of the file system are passed over: a cache may be missing."""
+    """Writes the records, one a layer file, over the old ones, in local folders only. Errors of the file system are passed over: a cache may be missing."""
+    plain = local(path)
+    if plain is None:
+        return
     try:
-        with open(path, "w", newline="") as file:
+        with open(plain, "w", newline="") as file:
             out = csv.writer(file)
             out.writerow(CACHE.names)
             for row in records.select(*CACHE.names).toLocalIterator():
@@ -71,37 +78,44 @@ def save_cache(records: DataFrame, path: str) -> None:
         pass
 
 
-def read_styles(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """file (the folder) and colour_stops of the style.txt files that exist."""
-    rows = []
-    for folder in folders:
-        try:
-            with open(os.path.join(folder, "style.txt"), encoding="utf-8") as file:
-                rows += [(folder, i, line) for i, line in enumerate(file.read().split("\n"))]
-        except (OSError, UnicodeDecodeError):
-            continue
-    return parse_styles(spark.createDataFrame(rows, "file string, ix int, line string"))
+def read_styles(folders: DataFrame) -> DataFrame:
+    """file (the folder) and colour_stops of the style.txt files that exist in `folders` (folder); read in the executors."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for folder in batch.column("folder").to_pylist():
+                try:
+                    found += [(folder, i, line) for i, line in enumerate(read_all(f"{folder}/style.txt").decode("utf-8").split("\n"))]
+                except (OSError, UnicodeDecodeError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["file", "ix", "line"])
+
+    return parse_styles(folders.select("folder").distinct().mapInArrow(rows, "file string, ix int, line string"))
 
 
-def build_catalog(spark: SparkSession, root: str, use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The layers below a local root, and (path, error) of the files that can't be layers.
+def build_catalog(spark: SparkSession, root: str, use_cache: bool = True, band: int = 1, default_style: str = "default") -> tuple[DataFrame, DataFrame]:
+    """The layers below a root, a local folder or the URI of one, and (path, error) of the files that can't be layers.
 
     Headers and statistics of all files that the cache doesn't answer are read
     in parallel. A cached record answers for a file of the same stem, size and
-    time whose place in the tree is the only one with that stem.
+    time whose place in the tree is the only one with that stem. What fails is
+    logged, and how many files and bytes were loaded.
     """
-    files = catalog.raster_files(list_files(spark, root)).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    cache_path = os.path.join(root, CACHE_FILE)
+    files = catalog.raster_files(list_files(spark, root), default_style).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    cache_path = f"{root.rstrip('/')}/{CACHE_FILE}"
     names = files.groupBy("layer").agg(F.count("*").alias("n_files"))
     files = files.join(names, "layer")
     cache = load_cache(spark, cache_path).dropDuplicates(["layer"]) if use_cache else spark.createDataFrame([], CACHE)
     hits, _ = catalog.cache_split(files.where("n_files = 1"), catalog.nest(cache))
-    paths = [r["path"] for r in files.select("path").collect()]  # one name a file: the listing came from the driver
-    if not paths:
+    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
+    if not total["n"]:
         return spark.createDataFrame([], LAYERS), spark.createDataFrame([], "path string, error string")
     known = hits.select("path", *(F.col(c).alias(f"old_{c}") for c in ("min_value", "max_value")))
     asked = files.select("path").join(known.select("path", F.lit(True).alias("cached")), "path", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
-    heads = geotiff.read_headers(asked.repartition(max(1, min(len(paths), 200)))).cache()
+    heads = geotiff.read_headers(asked.repartition(max(1, min(total["n"], 10_000))), band).cache()
     rows = files.join(heads, "path").join(known, "path", "left")
     unknown = ~supported(F.col("crs_code"))
     errors = rows.select("path", F.when(F.col("error").isNotNull(), F.col("error")).when(unknown, F.concat(F.lit("coordinate system EPSG:"), F.col("crs_code").cast("string"), F.lit(" isn't supported"))).alias("error")).where("error IS NOT NULL")
@@ -109,16 +123,18 @@ def build_catalog(spark: SparkSession, root: str, use_cache: bool = True) -> tup
     utm = not good.where(is_utm(F.col("crs_code"))).isEmpty()
     box = geometry.extent_of_grid(*map(F.col, ("origin_x", "origin_y", "px_w", "px_h", "width", "height")))
     good = good.withColumn("extent", box).withColumn("cached_geometry", geometry.cached_geometry(F.col("extent"), F.col("crs_code"), utm))
-    folders = [r["folder"] for r in files.select("folder").distinct().collect()]
-    good = with_stops(good, read_styles(spark, folders)).withColumn("colour_stops", F.coalesce("colour_stops", F.array().cast(f"array<{STOP}>")))
+    good = with_stops(good, read_styles(files)).withColumn("colour_stops", F.coalesce("colour_stops", F.array().cast(f"array<{STOP}>")))
     layers = good.select(*spark.createDataFrame([], LAYERS).columns)
     if use_cache:
         save_cache(catalog.last_by(catalog.flatten(layers).withColumn("path", F.monotonically_increasing_id()), "layer", "path"), cache_path)
+    failed = 0
+    for row in errors.toLocalIterator():
+        failed += 1
+        log.warning("%s: %s", row["path"], row["error"])
+    log.info("%d of %d files, %.2f MiB", total["n"] - failed, total["n"], total["bytes"] / 1024 / 1024)
     return layers, errors
 
 
-def pixels_of(spark: SparkSession, layers: DataFrame) -> DataFrame:
-    """Pixels of the layers' files."""
-    files = layers.select("path")
-    paths = [r["path"] for r in files.distinct().collect()]
-    return geotiff.read_pixels(spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content"), layers) if paths else spark.createDataFrame([], "layer string, row_ int, col int, v float")
+def pixels_of(layers: DataFrame, band: int = 1) -> PixelSource:
+    """The pixels of the layers' files: a function of the wanted rectangles (layer, r0, r1, c0, c1), which reads no other blocks."""
+    return lambda near: geotiff.read_pixels(layers, near, band)

@@ -134,14 +134,124 @@ def test_blocks_and_stream(spark, reader, tree, tmp_path):
     from mapweave.streaming.tile_requests import render_stream
 
     layers = reader.layers.where("layer IN ('ramp', 'stops')")
-    pixels = pixels_of(spark, layers)
+    pixels = geotiff.read_pixels(layers)
     assert sorted(map(tuple, from_blocks(to_blocks(pixels, 3), 3).collect())) == sorted(map(tuple, pixels.collect()))
     spark.createDataFrame([("ramp", 0, 0, 0), ("stops", 1, 0, 0), ("ramp", 0, 0, 0)], "layer string, z int, x bigint, y bigint").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("layer string, z int, x bigint, y bigint").parquet(str(tmp_path / "in"))
-    render_stream(stream, layers, pixels, str(tmp_path / "out"), str(tmp_path / "check"), 32).awaitTermination()
+    render_stream(stream, layers, pixels_of(layers), str(tmp_path / "out"), str(tmp_path / "check"), 32).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+class Broken:
+    def get_tile(self, *_):
+        raise RuntimeError("bug")
+
+
+def test_internal_errors_are_no_missing_tiles(caplog):
+    assert respond(Broken(), "/tiles/a/0/0/0")[0] == 500 and "bug" in caplog.text
+
+
+def test_page_asks_for_tiles(reader):
+    page = respond(reader, "/")[2].decode()
+    assert "/layers" in page and "/tiles/" in page
+
+
+def test_style_argument_and_far_tiles(reader):
+    assert reader.get_tile("dup", 0, 0, 0, "viridis")[1] != reader.get_tile("dup", 0, 0, 0, "magma")[1] == reader.get_tile("dup", 0, 0, 0)[1]
+    with pytest.raises(LookupError):
+        reader.get_tile("dup", 0, 0, 0, "nosuch")
+    assert not decode_rgba(reader.get_tile("ramp", 0, (1 << 32) - 1, (1 << 32) - 1)[1]).any()
+
+
+def test_only_blocks_of_the_window_are_read(tmp_path):
+    from mapweave.sources.files import PAGE, Ranges
+
+    band = np.random.default_rng(3).random((1024, 1024)).astype(np.float32)
+    for tile in (64, None):
+        (tmp_path / "a.tif").write_bytes(geotiff.write_geotiff(band, (0.0, 0.0), (1.0, 1.0), 3857, tile=tile))
+        with Ranges(str(tmp_path / "a.tif")) as data:
+            got = geotiff.GeoTiff(data).window(500, 520, 130, 200)
+            assert (got == band[500:521, 130:201]).all()
+            assert data.fetched <= 12 * PAGE and data.size > 4_000_000
+
+
+def test_tiles_of_a_large_raster_in_bands(spark, tmp_path, monkeypatch):
+    band = np.random.default_rng(4).integers(1, 200, (300, 500)).astype(np.float32)
+    put(tmp_path, "grayscale/big.tif", geotiff.write_geotiff(band, (0.0, 30000.0), (100.0, 100.0), 3857, compression=8, tile=64))
+    monkeypatch.setattr(geotiff, "BAND_ROWS", 50)
+    layers, _ = folder.build_catalog(spark, str(tmp_path), use_cache=False)
+    near = spark.createDataFrame([("big", 95, 160, -5, 70), ("none", 0, 1, 0, 1)], "layer string, r0 int, r1 int, c0 int, c1 int")
+    got = {(r["row_"], r["col"]): r["v"] for r in folder.pixels_of(layers)(near).collect()}
+    assert got == {(r, c): band[r, c] for r in range(95, 161) for c in range(71)}
+    assert geotiff.read_pixels(layers).count() == band.size
+
+
+def test_bands_of_several(tmp_path):
+    # Two samples a pixel: written as one band of double width, told apart by the header.
+    two = np.arange(2 * 4 * 6, dtype=np.float32).reshape(4, 12)
+    data = bytearray(geotiff.write_geotiff(two, (0.0, 0.0), (1.0, 1.0), 3857))
+    _, at = geotiff.struct.unpack("<HI", bytes(data[2:8]))
+    for k in range(geotiff.struct.unpack_from("<H", data, at)[0]):
+        place = at + 2 + 12 * k
+        tag = geotiff.struct.unpack_from("<H", data, place)[0]
+        if tag == geotiff.WIDTH:
+            geotiff.struct.pack_into("<I", data, place + 8, 6)
+        elif tag == geotiff.SAMPLES:
+            geotiff.struct.pack_into("<H", data, place + 8, 2)
+    for k in (1, 2):
+        assert (geotiff.GeoTiff(bytes(data), k).band() == two[:, k - 1 :: 2]).all()
+    with pytest.raises(ValueError, match="no band 3"):
+        geotiff.GeoTiff(bytes(data), 3)
+
+
+def test_catalog_of_a_uri(spark, tree):
+    layers, errors = folder.build_catalog(spark, f"file://{tree}", use_cache=False)
+    got = {r["layer"]: r for r in layers.collect()}
+    assert {"ramp", "holes", "stops", "geo", "utm", "dup", "n"} <= set(got)  # Spark's listing hides names that begin with a dot
+    assert [s["value"] for s in got["stops"]["colour_stops"]] == [0.0, 10.0] and got["holes"]["max_value"] == 15.0
+    assert "nocrs.tif" in {r["path"].rsplit("/", 1)[1] for r in errors.collect()}
+
+
+def test_summary_for_people(reader):
+    from mapweave.operators import catalog
+
+    summary = catalog.style_summary(reader.layers, "path")
+    got = {r["style"]: r for r in catalog.summary_text(summary).collect()}
+    assert got["default"]["breaks"] == "0.00, 10.00" and got["default"]["colours"] == "#000000 #64c832" and got["default"]["warnings"] == "breaks don't cover the data"
+    assert got["grayscale"]["breaks"] == "auto" and got["grayscale"]["colours"].split()[::9] == ["#000000", "#ffffff"] and got["grayscale"]["warnings"] == "0 of 2 cloud-optimised"
+    assert got["viridis"]["colours"].startswith("#440154 ") and len(got["viridis"]["colours"].split()) == 10
+    counts = catalog.totals(summary).first()
+    assert (counts["n_styles"], counts["n_layers"], counts["n_not_cog"]) == (6, 9, 5)
+
+
+def test_progress_passes_over_failed_files(spark):
+    from pyspark.sql import functions as F
+
+    from mapweave.operators.catalog import load_progress
+
+    files = spark.createDataFrame([(i, 10 * i, i % 3 == 0) for i in range(1, 11)], "ord int, size_bytes long, bad boolean")
+    got = [tuple(r) for r in load_progress(files, failed=F.col("bad")).orderBy("ord").select("loaded_bytes", "position", "percent").collect()]
+    want, place, read = [], 0, 0
+    for i in range(1, 11):
+        place, read = place + (i % 3 != 0), read + 10 * i
+        want.append((read, place, 10.0 * place))
+    assert got == want
+
+
+def test_exports():
+    import mapweave
+
+    assert mapweave.Config is Config and mapweave.FolderReader is FolderReader and all(hasattr(mapweave, n) for n in mapweave.__all__)
+    with pytest.raises(AttributeError):
+        mapweave.nothing
+
+
+@pytest.mark.parametrize("wrong", [{"tile_size_y": 128}, {"band": 0}, {"tile_size_x": 0, "tile_size_y": 0}])
+def test_settings_are_checked(wrong):
+    with pytest.raises(ValueError):
+        Config(**wrong)
+
+
 def test_no_source():
     with pytest.raises(ValueError, match="No source"):
         Config(data_folder=None).root()
