@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm.secrets import let
+from mapweave.llm.secrets import constant, let
 
 SHINGLE, BANDS, PERCENT = 5, 64, 75
 #: Words of a window and words from one window to the next.
@@ -87,7 +87,7 @@ class Templates:
         self.vocabulary = sorted({h for r in self.rows for h in r["shingles"]})
 
     def column(self) -> Column:
-        longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+        longs = lambda xs: constant(xs, "bigint")
         return F.array(*(F.struct(F.lit(r["name"]).alias("name"), longs(r["shingles"]).alias("shingles"), longs(r["keys"]).alias("keys")) for r in self.rows))
 
 

@@ -57,6 +57,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array of numbers in the plan, as one literal that the optimizer reads: a literal for each would take a call to the JVM for each."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _running(steps: Column, add: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
     """Running sums, or another fold that starts from 0, of an array of n ints in n^1.5 steps: block totals first, then folds inside each block."""
     fold = lambda w, start: F.aggregate(w, start, add)
@@ -105,7 +110,7 @@ class MarkovModels:
     def total(self, run: Column) -> Column:
         """The log-likelihood ratio of a string's transitions; characters outside ALPHABET are passed over."""
         n = len(ALPHABET)
-        table = F.array(*map(F.lit, self.ratios))
+        table = constant(self.ratios, "double")
 
         def summed(at: Column) -> Column:
             return F.when(F.size(at) > 1, F.aggregate(F.sequence(F.lit(1), F.size(at) - 1), F.lit(0.0), lambda a, i: a + F.get(table, F.get(at, i - 1) * n + F.get(at, i)))).otherwise(F.lit(0.0))
