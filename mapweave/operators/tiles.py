@@ -77,3 +77,22 @@ def tile_png(rgba: DataFrame, size: int = TILE) -> DataFrame:
 
     typed = rgba.select("layer", F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "px", "py", *colour.CHANNELS)
     return typed.groupBy(*KEY).applyInArrow(encode, "layer string, z int, x bigint, y bigint, content_type string, bytes binary")
+
+
+def png_pixels(images: DataFrame) -> DataFrame:
+    """layer, z, x, y, px, py, r, g, b, a: the pixels of tile_png()."""
+
+    def rows(batches):
+        import numpy as np
+
+        from mapweave.sources.png import decode_rgba
+
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                image = decode_rgba(bytes(row["bytes"]))
+                py, px = np.indices(image.shape[:2])
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+                keys = [pa.array([row[k]] * py.size, t) for k, t in zip(KEY, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c.ravel().astype(np.int32)) for c in (px, py, *np.moveaxis(image, 2, 0)))], names=[*KEY, "px", "py", *colour.CHANNELS])
+
+    return images.select(*KEY, "bytes").mapInArrow(rows, "layer string, z int, x bigint, y bigint, px int, py int, r int, g int, b int, a int")

@@ -68,15 +68,43 @@ _SCALED = f", q as (select *, {_S0} + t * ({_S1} - {_S0}) as s from n)"
 _RAMPS = ", ".join(f"{_ramp(k)} as {n}" for k, n in enumerate("rgba", 1))
 
 
-def _spline(channel: int) -> str:
-    values = [bytes.fromhex(h)[channel] for h in palettes.CONTROLS["viridis"].split()]
+def _byte(x: str) -> str:
+    return f"cast(floor(greatest(0e0, least(255e0, {x})) + 0.5e0) as int)"
+
+
+def _spline(name: str, channel: int) -> str:
+    """A channel of a palette of control colours at d, by the four cubic basis functions over mirrored ends."""
+    values = [bytes.fromhex(h)[channel] for h in palettes.CONTROLS[name].split()]
     padded = [2 * values[0] - values[1], *values, 2 * values[-1] - values[-2]]
     n = len(values) - 1
     i = f"least(cast(floor(d * {n}e0) as int), {n - 1})"
     v = [f"cast(list_extract([{', '.join(map(str, padded))}], {i} + {k + 1}) as double)" for k in range(4)]
     u = f"(d * {n}e0 - {i})"
-    x = f"((1 - 3 * {u} + 3 * ({u} * {u}) - {u} * {u} * {u}) * {v[0]} + (4 - 6 * ({u} * {u}) + 3 * ({u} * {u} * {u})) * {v[1]} + (1 + 3 * {u} + 3 * ({u} * {u}) - 3 * ({u} * {u} * {u})) * {v[2]} + {u} * {u} * {u} * {v[3]}) / 6"
-    return f"case when v is null then 0 else cast(floor(greatest(0e0, least(255e0, {x})) + 0.5e0) as int) end"
+    return _byte(f"((1 - 3 * {u} + 3 * ({u} * {u}) - {u} * {u} * {u}) * {v[0]} + (4 - 6 * ({u} * {u}) + 3 * ({u} * {u} * {u})) * {v[1]} + (1 + 3 * {u} + 3 * ({u} * {u}) - 3 * ({u} * {u} * {u})) * {v[2]} + {u} * {u} * {u} * {v[3]}) / 6")
+
+
+def _helix(hue: str, saturation: str, light: str) -> list[str]:
+    """Green's colour helix: a spiral around the grey diagonal."""
+    turn, width = f"(({hue} + 120e0) * pi() / 180e0)", f"({saturation} * {light} * (1 - {light}))"
+    parts = (("-0.14861e0", "1.78277e0"), ("-0.29227e0", "-0.90649e0"), ("1.97294e0", "0e0"))
+    return [_byte(f"255e0 * ({light} + {width} * ({a} * cos({turn}) + {b} * sin({turn})))") for a, b in parts]
+
+
+def _palette(name: str) -> list[str]:
+    """Red, green and blue of a built-in palette at d."""
+    if name in palettes.CONTROLS:
+        return [_spline(name, k) for k in range(3)]
+    if name == "turbo":
+        return [_byte(" + ".join(f"({c!r}e0) * power(d, {k}e0)" for k, c in enumerate(p))) for p in palettes.TURBO]
+    if name == "sinebow":
+        return [_byte(f"255e0 * power(sin((0.5e0 - d) * pi() + {k}e0 * pi() / 3e0), 2e0)") for k in range(3)]
+    if name == "rainbow":
+        return _helix("(360e0 * d - 100e0)", "(1.5e0 - 1.5e0 * abs(d - 0.5e0))", "(0.8e0 - 0.9e0 * abs(d - 0.5e0))")
+    return _helix("(300e0 - 540e0 * d)", "0.5e0", "d")
+
+
+def _samples(name: str) -> str:
+    return f"select '{name}' as style, ix, {', '.join(f'{c} as {n}' for c, n in zip(_palette(name), 'rgb', strict=True))}, 255 as a from (select i as ix, i / 100e0 as d from range(101) as t(i)) s"
 
 
 _STEM, _EXT = "regexp_replace(list_extract(string_split(path, '/'), -1), '[.][^.]*$', '')", "lower(regexp_extract(path, '[.]([^./]*)$', 1))"
@@ -126,8 +154,8 @@ ORACLES: dict[str, str] = {
     "tile_grayscale": _tile(_ONE, "", f"px, py, {_GRAY} as r, {_GRAY} as g, {_GRAY} as b, case when v is null then 0 else 255 end as a from n"),
     "tile_stops": _tile(_ONE, _SCALED, f"px, py, {_RAMPS} from q"),
     "tile_batch": _tile(_BATCH, _SCALED, f"cast(z as int) as z, cast(x as bigint) as x, cast(y as bigint) as y, px, py, {_RAMPS} from q"),
-    "tile_gradient": _tile(_ONE, ", q as (select *, cast(t as double) as d from n)", f"px, py, {', '.join(f'{_spline(k)} as {n}' for k, n in enumerate('rgb'))}, case when v is null then 0 else 255 end as a from q"),
-    "constant_raster": f"select row_, col, 0 as gray_r, 0 as gray_g, 0 as gray_b, 255 as gray_a, 0 as stops_r, 0 as stops_g, 0 as stops_b, 0 as stops_a, {', '.join(f'{x} as palette_{n}' for x, n in zip(palettes.colour_at('viridis', 0.0), 'rgba', strict=True))} from ({fx.RASTER}) r",
+    "tile_gradient": _tile(_ONE, ", q as (select *, cast(t as double) as d from n)", f"px, py, {', '.join(f'case when v is null then 0 else {c} end as {n}' for c, n in zip(_palette('viridis'), 'rgb', strict=True))}, case when v is null then 0 else 255 end as a from q"),
+    "constant_raster": f"select row_, col, 0 as gray_r, 0 as gray_g, 0 as gray_b, 255 as gray_a, 0 as stops_r, 0 as stops_g, 0 as stops_b, 0 as stops_a, {', '.join(f'{c} as palette_{n}' for c, n in zip(_palette('viridis'), 'rgb', strict=True))}, 255 as palette_a from (select *, 0e0 as d from ({fx.RASTER}) r) r",
     "file_filter": f"with {_KEPT} select ord, path, layer, style from kept",
     "path_parts": f"select ord, {_STEM} as stem, {_EXT} as extension, case when not at_root then list_extract(string_split(path, '/'), -2) end as style from ({fx.FILES}) f",
     "cache_hits": f"with {_KEPT}, {_OLD} select kept.ord, layer, size_bytes, last_modified, old.ord as cached_ord from kept join old using (layer, size_bytes, last_modified)",
@@ -147,8 +175,10 @@ ORACLES: dict[str, str] = {
     "style_parse": f"select file, cast(ix as int) as ix, cast(value as float) as value, red, green, blue, alpha from (values {', '.join(map(str, _PARSED))}) as t(file, ix, value, red, green, blue, alpha)",
     "style_join": f"select ord, style, case when style = 'default' then {len(fx.STOPS)} else 0 end as n_stops from ({fx.LAYERS_FLAT}) f",
     "stop_intervals": "select style, ix, value, next_value from (select 'default' as style, cast(ix as int) as ix, cast(value as float) as value, lead(cast(value as float)) over (order by ix) as next_value from (values {}) as t(ix, value)) w where next_value is not null".format(", ".join(f"({i}, {s[0]})" for i, s in enumerate(fx.STOPS))),
-    "colour_bar": "select 'grayscale' as style, cast(i as int) as ix, v as r, v as g, v as b from (select i, cast(floor(255e0 * i / 9e0 + 0.5e0) as int) as v from range(10) as t(i)) g union all select 'default', ix, r, g, b from (values {}) as t(ix, r, g, b)".format(", ".join(str((i, *s[1:4])) for i, s in enumerate(fx.STOPS))),
-    "palette_samples": "select style, cast(ix as bigint) as ix, r, g, b, a from (values {}) as t(style, ix, r, g, b, a)".format(", ".join(str((n, i, *palettes.colour_at(n, i / 100))) for n in palettes.NAMES for i in range(101))),
+    "colour_bar": "select 'grayscale' as style, cast(i as int) as ix, v as r, v as g, v as b from (select i, cast(floor(255e0 * i / 9e0 + 0.5e0) as int) as v from range(10) as t(i)) g union all select 'default', ix, r, g, b from (values {}) as t(ix, r, g, b)".format(", ".join(str((i, *s[1:4])) for i, s in enumerate(fx.STOPS)))
+    + " union all " + " union all ".join(f"select '{n}', cast(ix as int), {', '.join(_palette(n))} from (select i as ix, i / 9e0 as d from range(10) as t(i)) s" for n in palettes.NAMES),
+    "palette_samples": " union all ".join(map(_samples, palettes.NAMES)),
     "format_mib": f"select ord, size_bytes / 1024e0 / 1024e0 as mib from ({fx.FILES}) f",
 }
 ORACLES["tile_stops_column"] = ORACLES["tile_stops"]
+ORACLES["tile_png_pixels"] = ORACLES["tile_batch"]

@@ -139,6 +139,11 @@ def tile_png(spark: SparkSession, d: str) -> DataFrame:
     return tiles.tile_png(rgba)
 
 
+def tile_png_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """What the PNG files of tile_png() hold."""
+    return tiles.png_pixels(tile_png(spark, d)).drop("layer")
+
+
 def constant_raster(spark: SparkSession, d: str) -> DataFrame:
     """What the three ways of colouring make of a raster of one value."""
     v = F.lit(CONSTANT).cast("float")
@@ -264,8 +269,10 @@ def stop_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def colour_bar(spark: SparkSession, d: str) -> DataFrame:
     gray = spark.range(1).select(F.lit("grayscale").alias("style"), F.posexplode(colour.colour_bar_gray()).alias("ix", "r")).select("style", "ix", "r", F.col("r").alias("g"), F.col("r").alias("b"))
-    ramp = spark.createDataFrame([("default", i, *s[1:4]) for i, s in enumerate(fx.STOPS)], "style string, ix int, r int, g int, b int")
-    return gray.unionByName(ramp)
+    out = gray.unionByName(spark.createDataFrame([("default", i, *s[1:4]) for i, s in enumerate(fx.STOPS)], "style string, ix int, r int, g int, b int"))
+    for name in palettes.NAMES:
+        out = out.unionByName(spark.range(1).select(F.lit(name).alias("style"), F.posexplode(colour.colour_bar_palette(name)).alias("ix", "c")).select("style", "ix", "c.*"))
+    return out
 
 
 def palette_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +299,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         tile_bounds, mercator_fwd, mercator_inv, mercator_clamp, project_extents, cached_geometry, extent_from_geotransform, pixel_grid, band_stats, nodata_mask,
-        extent_mask, warp_nearest, constant_raster, tile_png, file_filter, path_parts, cache_hits, cache_misses, catalog_union, cache_flatten, cache_roundtrip,
+        extent_mask, warp_nearest, constant_raster, tile_png, tile_png_pixels, file_filter, path_parts, cache_hits, cache_misses, catalog_union, cache_flatten, cache_roundtrip,
         cache_dedupe, layer_index, first_layer_per_name, style_summary, style_warnings, load_progress, list_layers, layers_response, first_layer, style_parse,
         style_join, stop_intervals, colour_bar, palette_samples, format_mib,
     )

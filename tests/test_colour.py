@@ -57,6 +57,32 @@ def test_constant_rasters(spark):
     assert channels(spark, [5.0], lambda *v: colour.palette("magma", *v), 5.0, 5.0) == [palettes.colour_at("magma", 0.0)]
 
 
+#: Published colours of the maps at 0, 1/4, 1/2, 3/4 and 1.
+PUBLISHED = {
+    "viridis": "440154 3b528b 21918c 5ec962 fde725",
+    "magma": "000004 51127c b73779 fc8961 fcfdbf",
+    "plasma": "0d0887 7e03a8 cc4778 f89540 f0f921",
+    "inferno": "000004 57106e bc3754 f98e09 fcffa4",
+    "spectral": "9e0142 f98e52 fffebe 86cfa5 5e4fa2",
+}
+
+
+@pytest.mark.parametrize("name", PUBLISHED)
+def test_palettes_are_near_the_published_maps(name):
+    for k, h in enumerate(PUBLISHED[name].split()):
+        got = palettes.colour_at(name, k / 4)[:3]
+        assert max(abs(a - b) for a, b in zip(got, bytes.fromhex(h), strict=True)) <= 16, (k, got, h)
+
+
+def test_palettes_by_formula():
+    for t in (0.0, 0.3, 0.5, 1.0):
+        got = palettes.colour_at("sinebow", t)[:3]
+        assert got == tuple(int(255 * math.sin(math.pi * (0.5 - t) + k * math.pi / 3) ** 2 + 0.5) for k in range(3))
+    # Turbo begins dark blue-violet, is green in the middle and ends dark red.
+    first, middle, last = (palettes.colour_at("turbo", t) for t in (0.0, 0.5, 1.0))
+    assert max(first) == 255 and first[0] < 50 and middle[1] > 230 and last[0] > 120 and last[1] < 20 and last[2] < 20
+
+
 def test_palette_ends():
     assert palettes.colour_at("viridis", 0.0) == (0x44, 0x01, 0x54, 255)
     assert palettes.colour_at("spectral", 1.0) == (0x5E, 0x4F, 0xA2, 255)
