@@ -25,8 +25,10 @@ from mapweave.llm import wordhash
 from mapweave.llm.scratch import Scratch
 
 WINDOW = 13
-#: All words of a window within so many words of its rarest one make a proximity match.
+#: All words of a window within so many words of its longest one, the first of those, make a proximity match.
 SLOP = 20
+#: Candidate positions that are looked at together; more are taken in turns, which bounds memory.
+TURN = 1 << 20
 #: Bytes of benchmark text that one pass over the index looks for; a larger benchmark takes more passes.
 PASS_BYTES = 8 << 20
 
@@ -81,9 +83,21 @@ class Shard:
         base = term * (self.n + 1)
         return np.searchsorted(self.where, base + high) - np.searchsorted(self.where, base + low)
 
+    def _turns(self, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every position at which each of the terms occurs, as (place in `term`, position), at most about TURN together."""
+        n = self.lists[term + 1] - self.lists[term]
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(term):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + TURN, "right")))
+            some = n[start:stop]
+            held = np.repeat(np.arange(start, stop), some)
+            yield held, self.positions[self.lists[term[held]] + np.arange(len(held)) - np.repeat(np.cumsum(some) - some, some)]
+            start = stop
+
     def search(self, windows: "Windows", slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows and start positions of phrase matches; windows and texts of proximity matches."""
-        term = self.term_ids(windows.words)
+        term = self.term_ids(windows.known)[windows.place]
         frequency = np.where(term >= 0, self.lists[term + 1] - self.lists[term], 0)
         none = np.zeros(0, np.int64)
         phrase, near = [(none, none)], [(none, none)]
@@ -91,26 +105,24 @@ class Shard:
             grid = begins[:, None] + np.arange(size)
             often = frequency[grid]
             live = np.flatnonzero(often.min(axis=1) > 0) if len(begins) else none
-            grid, order = grid[live], np.argsort(often[live], axis=1, kind="stable")
-            at = begins[live]
-            rare, line = order[:, 0], np.arange(len(live))
-            n = often[live][line, rare]
-            held = np.repeat(line, n)
-            spots = self.positions[np.repeat(self.lists[term[grid[line, rare]]], n) + np.arange(len(held)) - np.repeat(np.cumsum(n) - n, n)]
-            doc = np.searchsorted(self.first, spots, "right") - 1
-            low, high = self.first[doc], self.first[doc + 1]
-            begin = spots - rare[held]
-            ok = (begin >= low) & (begin + size <= high)
-            win, begin_ok = held[ok], begin[ok]
-            for k in range(1, size):
-                j = order[win, k]
-                p = begin_ok + j
-                keep = self.count(term[grid[win, j]], p, p + 1) > 0
-                win, begin_ok = win[keep], begin_ok[keep]
-            phrase.append((at[win], begin_ok))
-            if slop is not None:
-                low, high = np.maximum(low, spots - slop), np.minimum(high, spots + slop + 1)
+            grid, order, at = grid[live], np.argsort(often[live], axis=1, kind="stable"), begins[live]
+            line = np.arange(len(live))
+            for held, spots in self._turns(term[grid[line, order[:, 0]]]):
+                begin = spots - order[held, 0]
+                doc = np.searchsorted(self.first, spots, "right") - 1
+                ok = (begin >= self.first[doc]) & (begin + size <= self.first[doc + 1])
+                win, begin = held[ok], begin[ok]
                 for k in range(1, size):
+                    j = order[win, k]
+                    keep = self.count(term[grid[win, j]], begin + j, begin + j + 1) > 0
+                    win, begin = win[keep], begin[keep]
+                phrase.append((at[win], begin))
+            if slop is None:
+                continue
+            for held, spots in self._turns(term[grid[line, windows.lengths[grid].argmax(axis=1)]] if len(live) else none):
+                doc = np.searchsorted(self.first, spots, "right") - 1
+                low, high = np.maximum(self.first[doc], spots - slop), np.minimum(self.first[doc + 1], spots + slop + 1)
+                for k in range(size):
                     keep = self.count(term[grid[held, order[held, k]]], low, high) > 0
                     held, low, high, doc = held[keep], low[keep], high[keep], doc[keep]
                 near.append((at[held], doc))
@@ -125,7 +137,9 @@ class Windows:
         data, at = wordhash.utf8(column)
         low = wordhash.LOWER[data]
         starts, ends, first = wordhash.words(low, at, wordhash.ALNUM)
-        self.words = wordhash.hashes(low, starts, ends)
+        self.words, self.lengths = wordhash.hashes(low, starts, ends), ends - starts
+        #: Each different word once, and which of them stands where.
+        self.known, self.place = np.unique(self.words, return_inverse=True)
         self.names = [i for i, _ in items]
         self.item = np.repeat(np.arange(len(items)), np.diff(first))
         by: dict[int, list[np.ndarray]] = {}

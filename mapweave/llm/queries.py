@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language_id": op10.run,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": op1.ORACLE, "op5_top_k": op5.ORACLE, "op7_warc": op7.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": op1.ORACLE, "op2_near_dedup": op2.ORACLE, "op6_decontaminate": op6.ORACLE, "op5_top_k": op5.ORACLE, "op7_warc": op7.ORACLE}
