@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm.licenses import PERCENT, SHINGLE, TEMPLATES, WINDOWS, WORD_GAP, Templates, find_licenses
+from mapweave.llm.licenses import PERCENT, SHINGLE, TEMPLATES, WORD_GAP, Templates, find_licenses, windows_of
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ with t as (
   select doc_id, i, name, s from ds join ts using (s)
 ), windows as (
   select doc_id, name, s, size, i // step - back as k, i, step
-  from hits, (values {", ".join(map(str, WINDOWS))}) as z(size, step), (values (0), (1)) as b(back)
+  from hits, (values {", ".join(map(str, windows_of(TEMPLATES)))}) as z(size, step), (values (0), (1)) as b(back)
 ), found as (
   select distinct doc_id, name from (
     select doc_id, name, size, k, count(distinct s) as n from windows

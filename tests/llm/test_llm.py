@@ -586,14 +586,14 @@ def test_language_column_equals_identify(spark):
 # 1 licenses
 
 
-def brute_licenses(text):
+def brute_licenses(text, templates=licenses.TEMPLATES):
     def sets(words):
         return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
     split = lambda t: [w for w in re.split("[^a-z0-9]+", (t or "").translate(LOW)) if w]
     w = split(text)
-    spans = [sets(w[k : k + size]) for size, step in licenses.WINDOWS for k in range(0, max(1, len(w)), step)]
-    return sorted(n for n, t in licenses.TEMPLATES.items() if any(100 * len(sets(split(t)) & s) >= 75 * len(sets(split(t))) for s in spans))
+    spans = [sets(w[k : k + size]) for size, step in licenses.windows_of(templates) for k in range(0, max(1, len(w)), step)]
+    return sorted(n for n, t in templates.items() if any(100 * len(sets(split(t)) & s) >= 75 * len(sets(split(t))) for s in spans))
 
 
 def test_licenses_equal_brute_force(spark):
@@ -611,6 +611,21 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.find_licenses(docs_of(spark, ["x"]), licenses.Templates(spark, {})).first()["licenses"] == []
 
 
+def test_long_templates_and_several_blocks(spark, monkeypatch):
+    rng = random.Random(35)
+    texts = {"long": prose(rng, 700, 9000), "middle": prose(rng, 90, 9000), "short": prose(rng, 6, 9000)}
+    docs = [texts["long"], prose(rng, 333) + " " + texts["long"] + " " + texts["short"], texts["middle"][:300], texts["middle"] + " " + texts["short"], ""]
+    for most in (50_000, 100):
+        monkeypatch.setattr(licenses, "MOST_SHINGLES", most)
+        templates = licenses.Templates(spark, texts)
+        assert len(templates.blocks) == (1 if most > 1000 else 2) and templates.windows[-1] == (2048, 1024)
+        got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs_of(spark, docs), templates).collect()}
+        assert [got[i] for i in range(len(docs))] == [brute_licenses(t, texts) for t in docs]
+    assert got[0] == ["long"] and got[1] == ["long", "short"]
+    with pytest.raises(ValueError, match="fewer than 5 words: tiny"):
+        licenses.Templates(spark, {"tiny": "one two three four"})
+
+
 # kernels
 
 
@@ -637,7 +652,7 @@ def test_queries_with_sql_equal_it(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got, want = QUERIES[name](spark, d), con.execute(sql)
