@@ -171,10 +171,14 @@ def find_licenses(docs: DataFrame, templates: Templates) -> DataFrame:
     if not templates.blocks:
         return docs.select("doc_id", none.alias("licenses"))
 
-    def hits(w: Column, block: list) -> Column:
+    def hits(block: list) -> Column:
         vocabulary = templates.vocabulary(block)
-        known = F.filter(_starts(w), lambda i: _shingle(w, i).isin(vocabulary))
-        return F.transform(known, lambda i: F.struct(i.alias("at"), _shingle(w, i).alias("h")))
+
+        def of(w: Column) -> Column:
+            known = F.filter(_starts(w), lambda i: _shingle(w, i).isin(vocabulary))
+            return F.transform(known, lambda i: F.struct(i.alias("at"), _shingle(w, i).alias("h")))
+
+        return let(words(F.col("text")), of)
 
     def matches(s: Column, block: list) -> Column:
         near = let(band_keys(s), lambda keys: F.filter(templates.column(block), lambda t: F.arrays_overlap(t["keys"], keys)))
@@ -185,5 +189,5 @@ def find_licenses(docs: DataFrame, templates: Templates) -> DataFrame:
         windows = lambda h: F.array_distinct(F.concat(*(_windows(h, *w) for w in templates.windows)))
         return F.when(F.size(at) > 0, let(at, lambda h: let(windows(h), lambda ws: F.flatten(F.transform(ws, lambda s: matches(s, block)))))).otherwise(none)
 
-    found = docs.select("doc_id", *(let(words(F.col("text")), lambda w, b=b: hits(w, b)).alias(f"hits_{k}") for k, b in enumerate(templates.blocks)))
+    found = docs.select("doc_id", *(hits(b).alias(f"hits_{k}") for k, b in enumerate(templates.blocks)))
     return found.select("doc_id", F.array_sort(F.array_distinct(F.concat(*(names(F.col(f"hits_{k}"), b) for k, b in enumerate(templates.blocks))))).alias("licenses"))
