@@ -15,7 +15,8 @@
    sizes meet, since others can't be similar. So every pair that shares a bucket
    is either compared, connected already, or too different in size, and no step
    lists all pairs of a group of copies.
-5. Links of nodes become links of ids, and rows of one id are one document.
+5. The smallest id of a component labels all its texts. Where an id comes with
+   several sets, links of nodes become links of ids, and components of ids follow.
 
 With 40 bands of 5 minima a pair at similarity 0.75 shares no band with
 probability 2e-5, one at 0.85 with 3e-11.
@@ -233,8 +234,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     nodes, salt = _nodes(real, scratch)
     texts = _Texts(docs, nodes, salt, repeated)
-    copies = nodes.where("copies > 1").select(F.col("print").alias("p"), "rep")
-    copies = scratch.save(real.select("doc_id", "print").join(copies, F.col("print") == F.col("p")).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "copies")
     reps = real.join(nodes.select(F.col("rep").alias("doc_id"), "print", "id"), ["doc_id", "print"]).select("id", F.col("n_shingles").alias("n"), "bands", "keys", "sig")
     reps = scratch.save(reps.dropDuplicates(["id"]) if repeated else reps, "reps")
 
@@ -252,13 +251,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = scratch.save(connected_components(links, scratch, f"cc-{tag}"), f"found-{tag}")
             links = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     scratch.drop("members", "buckets", "reps")
+    none, real = signed.where("doc_id IS NULL OR n_shingles = 0"), signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    if repeated:
+        labels = _labels_of_ids(real, nodes, links, scratch)
+        out = signed.where("doc_id IS NOT NULL").join(labels, "doc_id", "left")
+        none = signed.where("doc_id IS NULL")
+    else:
+        out = real.join(_labels_of_nodes(nodes, links, scratch), "print", "left")
+    row = lambda of: ("doc_id", "n_shingles", of.alias("component_id"), of.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select(*row(F.coalesce("component", "doc_id"))).unionByName(none.select(*row(F.col("doc_id"))))
+
+
+def _labels_of_nodes(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(print, component): the smallest id of each node's component, of nodes that have copies or links. Each id has one node."""
+    of = links.unionByName(links.select(F.col("v").alias("u"), "v").distinct())
+    held = nodes.join(of.select(F.col("u").alias("id"), F.col("v").alias("centre")), "id", "left").where("copies > 1 OR centre IS NOT NULL")
+    held = scratch.save(held.select("print", "rep", F.coalesce("centre", "id").alias("centre")), "held")
+    least = held.groupBy("centre").agg(F.min("rep").alias("component"))
+    return scratch.save(held.join(least, "centre").select("print", "component"), "labels")
+
+
+def _labels_of_ids(real: DataFrame, nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, component) where ids may have several nodes: components of ids, which join the nodes of an id."""
+    copies = nodes.where("copies > 1").select(F.col("print").alias("p"), "rep")
+    copies = real.select("doc_id", "print").join(copies, F.col("print") == F.col("p")).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     named = links.join(nodes.select(F.col("id").alias("u"), F.col("rep").alias("one")), "u").join(nodes.select(F.col("id").alias("v"), F.col("rep").alias("two")), "v")
-    between = copies.unionByName(named.select(F.col("one").alias("u"), F.col("two").alias("v")))
-    labels = scratch.save(connected_components(between, scratch, "cc-ids"), "found-ids").where("node <> component").select(F.col("node").alias("doc_id"), "component")
-    slim = signed.select("doc_id", "n_shingles")
-    out = slim.where("doc_id IS NOT NULL").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(slim.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+    found = scratch.save(connected_components(copies.unionByName(named.select(F.col("one").alias("u"), F.col("two").alias("v"))), scratch, "cc-ids"), "found-ids")
+    return found.where("node <> component").select(F.col("node").alias("doc_id"), "component")
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
