@@ -29,20 +29,31 @@ WINDOW = 13
 SLOP = 20
 #: Candidate positions that are looked at together; more are taken in turns, which bounds memory.
 TURN = 1 << 20
+#: Bytes of text of a shard, about; every shard looks for every window, so fewer are better, and one is in a worker's memory.
+SHARD_BYTES = 1 << 22
 #: Bytes of benchmark text that one pass over the index looks for; a larger benchmark takes more passes.
 PASS_BYTES = 8 << 20
 
 INDEX = "shard string, ids array<long>, first binary, terms binary, lists binary, positions binary"
 
 
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a batch of texts, and for each text the index of its first word (n + 1 entries)."""
+    first, found = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
+    for part in wordhash.chunks(iter([batch])):
+        data, at = wordhash.utf8(part.column("text"))
+        low = wordhash.LOWER[data]
+        starts, ends, begin = wordhash.words(low, at, wordhash.ALNUM)
+        found.append(wordhash.hashes(low, starts, ends))
+        first.append(first[-1][-1] + begin[1:])
+    return np.concatenate(found), np.concatenate(first)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import uuid
 
-    for batch in wordhash.chunks(batches):
-        data, at = wordhash.utf8(batch.column("text"))
-        low = wordhash.LOWER[data]
-        starts, ends, first = wordhash.words(low, at, wordhash.ALNUM)
-        h = wordhash.hashes(low, starts, ends)
+    for batch in wordhash.chunks(batches, SHARD_BYTES):
+        h, first = _hashes(batch)
         order = np.argsort(h, kind="stable")
         h = h[order]
         lists = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
