@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = scratch.save(docs.mapInArrow(wordhash.tidy(_sign), "doc_id long, n_shingles long, print binary, bands array<long>, keys binary, sig binary"), "signed")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    repeated = not real.groupBy("doc_id").count().where("count > 1").isEmpty()
+    repeated = not signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     nodes, salt = _nodes(real, scratch)
     texts = _Texts(docs, nodes, salt, repeated)

@@ -76,29 +76,38 @@ def test_near_duplicates_equal_brute_force(spark):
             if rng.random() < 0.4:
                 base = copy
     texts += [passage + " " + prose(rng, rng.randrange(30, 200)) for _ in range(40)]
+    texts += [*hub_of_distant_copies(), *texts_with_much_in_common()]
     rng.shuffle(texts)
     got = rows_of(near_dedup.near_duplicates(docs_of(spark, texts)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(brute_components(texts), key=repr)
 
 
-def test_near_duplicates_hub_of_distant_copies(spark):
-    # All are near a base, few are near each other: blocks of a bucket must find every link.
+def hub_of_distant_copies():
+    """All are near a base, few are near each other: blocks of a bucket must find every link."""
     rng = random.Random(2)
     base = prose(rng, 150, 10_000).split()
-    texts = []
     for _ in range(150):
         copy = list(base)
         for _ in range(4):
             copy[rng.randrange(len(copy))] = f"e{rng.randrange(99999)}"
-        texts.append(" ".join(copy))
-    got = rows_of(near_dedup.near_duplicates(docs_of(spark, texts)), "doc_id", "n_shingles", "component_id", "kept")
-    assert got == sorted(brute_components(texts), key=repr)
+        yield " ".join(copy)
+
+
+def texts_with_much_in_common():
+    """Half of each text is shared, so that buckets mix many components; sizes differ, and some pairs are near."""
+    rng = random.Random(31)
+    shared = prose(rng, 80, 10_000)
+    for _ in range(160):
+        own = prose(rng, rng.randrange(10, 90), 10_000)
+        yield shared + " " + own
+        if rng.random() < 0.15:
+            yield shared + " " + own + " " + prose(rng, 3)
 
 
 def test_near_duplicates_ids_missing_and_repeated(spark):
     t = prose(random.Random(3), 30)
-    got = rows_of(near_dedup.near_duplicates(docs_of(spark, [t, t, t, None, t + " more"], ids=[5, 5, None, None, 7])), "doc_id", "component_id", "kept")
-    assert got == sorted([(5, 5, True), (5, 5, True), (None, None, True), (None, None, True), (7, 5, False)], key=repr)
+    got = rows_of(near_dedup.near_duplicates(docs_of(spark, [t, t, t, None, t + " more", "", ""], ids=[5, 5, None, None, 7, 7, 8])), "doc_id", "component_id", "kept")
+    assert got == sorted([(5, 5, True), (5, 5, True), (None, None, True), (None, None, True), (7, 5, False), (7, 5, False), (8, 8, True)], key=repr)
     assert near_dedup.near_duplicates(docs_of(spark, [])).isEmpty()
 
 
@@ -111,19 +120,6 @@ def test_near_duplicates_of_one_id_with_different_texts(spark):
         assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)])
 
 
-def test_near_duplicates_of_texts_with_much_in_common(spark):
-    # Half of each text is shared, so that buckets mix many components; sizes differ, and some pairs are near.
-    rng = random.Random(31)
-    shared, texts = prose(rng, 80, 10_000), []
-    for _ in range(160):
-        own = prose(rng, rng.randrange(10, 90), 10_000)
-        texts.append(shared + " " + own)
-        if rng.random() < 0.15:
-            texts.append(shared + " " + own + " " + prose(rng, 3))
-    got = rows_of(near_dedup.near_duplicates(docs_of(spark, texts)), "doc_id", "n_shingles", "component_id", "kept")
-    assert got == sorted(brute_components(texts), key=repr)
-
-
 def test_near_duplicates_without_filter_and_with_equal_keys(spark, monkeypatch):
     rng = random.Random(32)
     texts = [prose(rng, 40, 3000) for _ in range(20)]
