@@ -37,7 +37,7 @@ GRAM, AROUND = 6, 8
 #: A telling gram has so many times its share of ordinary text, in so many surroundings at least, and in so many of a million.
 RATIO, LEAST, LEAST_PPM = 6.0, 8, 8.0
 #: Surroundings counted for one side; of more text, those whose hash falls in an even share of all hashes.
-MOST_COUNTED = 1 << 22
+MOST_COUNTED = 1 << 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BUCKETS = 1 << 24
@@ -77,8 +77,8 @@ def surroundings(text: bytes) -> np.ndarray:
     return _rolled(a, GRAM + 2 * AROUND, max(0, len(text) - GRAM + 1))
 
 
-def gram_counts(texts: list[bytes]) -> np.ndarray:
-    """For each bucket, in how many different surroundings its grams stand."""
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, rising, and in how many different surroundings their grams stand."""
     step = np.uint64(max(1, -(-sum(map(len, texts)) // MOST_COUNTED)))
     where, what = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for text in texts:
@@ -87,14 +87,21 @@ def gram_counts(texts: list[bytes]) -> np.ndarray:
         where.append(h[some])
         what.append(grams(text)[some])
     _, once = np.unique(np.concatenate(where), return_index=True)
-    return np.bincount(np.concatenate(what)[once], minlength=_BUCKETS) * int(step)
+    buckets, n = np.unique(np.concatenate(what)[once], return_counts=True)
+    return buckets, n * int(step)
 
 
 def telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Which buckets are much more frequent in toxic than in ordinary texts."""
-    one, two = gram_counts(toxic), gram_counts(ordinary)
+    (buckets, one), (known, two) = gram_counts(toxic), gram_counts(ordinary)
     n_one, n_two = max(1, int(one.sum())), max(1, int(two.sum()))
-    return (one >= max(LEAST, LEAST_PPM * n_one / 1e6)) & ((one + 0.5) / n_one > RATIO * (two + 0.5) / n_two)
+    many = one >= max(LEAST, LEAST_PPM * n_one / 1e6)
+    buckets, one = buckets[many], one[many]
+    at = np.minimum(np.searchsorted(known, buckets), max(0, len(known) - 1))
+    other = np.where(known[at] == buckets, two[at], 0) if len(known) else np.zeros(len(buckets))
+    marked = np.zeros(_BUCKETS, bool)
+    marked[buckets[(one + 0.5) / n_one > RATIO * (other + 0.5) / n_two]] = True
+    return marked
 
 
 def passages(text: bytes, marked: np.ndarray) -> list[bytes]:

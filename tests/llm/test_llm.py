@@ -508,8 +508,8 @@ def test_telling_grams_count_copies_once():
     marked = toxicity.telling(toxic, ordinary)
     assert toxicity.passages(b" a nastyslur b", marked) == [b" nastyslur"] and toxicity.passages(copied, marked) == []
     assert toxicity.passages(b"", marked) == toxicity.passages(b"x", marked) == []
-    counts = toxicity.gram_counts([b"abcdef", b"abcdef", b"xabcdef"])
-    assert counts[toxicity.grams(b"abcdef")[0]] == 2
+    buckets, n = toxicity.gram_counts([b"abcdef", b"abcdef", b"xabcdef"])
+    assert n[buckets == toxicity.grams(b"abcdef")[0]].tolist() == [2]
 
 
 # 9 BPE
